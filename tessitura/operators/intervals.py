@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura.session import materialize
+
 LIST = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
 
 
@@ -97,7 +99,8 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, *
     nested and touching intervals fall together (closed=False: touching ones stay apart). An empty table gives no rows.
     Extra columns, of any name, are ignored.
     """
-    nodes = interval_nodes(df, keys, start, end, closed=closed, leaf=leaf, fan_in=fan_in)
+    # Four branches read the nodes below: written once, they are neither merged nor shuffled again, nor lost with an executor.
+    nodes = materialize(interval_nodes(df, keys, start, end, closed=closed, leaf=leaf, fan_in=fan_in), "interval-nodes")
     by = [F.col(k) for k in keys]
     order = W.partitionBy(*by).orderBy("__node")
     reach = nodes.select(*keys, "__node", F.element_at("__iv", -1)["e"].alias("__reach"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.llm.encode import encode_corpus
 from tessitura.llm.lookalike import consistent_texts, lookalike_pairs
+from tessitura.llm.pack import certificate, packed_documents
 from tessitura.llm.split import LIMIT_S, split_recordings
+from tessitura.llm.stuffing import stuffed_pages, stuffing
 from tessitura.llm.turns import speaker_turns
 from tessitura.session import table
 
@@ -44,7 +47,31 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_turns(spark, sf).select("rec_id", "speaker_idx", "first_seg_id", "last_seg_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_turns": p5_turns}
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_corpus(table(spark, sf, "documents"))
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_documents(table(spark, sf, "documents"))
+
+
+def p7_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    return certificate(packed_documents(table(spark, sf, "documents")))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_documents(table(spark, sf, "documents")).filter("n_pieces > 1 and piece = 0").select("doc_id")
+
+
+def p8_share(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffing(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf, "documents")).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_turns": p5_turns, "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_certificate": p7_certificate, "p8_found": p8_found, "p8_share": p8_share}
 ORACLE = {
     "p1_found": """
 with rec as (

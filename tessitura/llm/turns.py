@@ -6,16 +6,17 @@ slot finds its own runs, and only the first and last run of a slot meet those of
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessitura.operators.intervals import speaker_periods, to_ms
+from tessitura.session import materialize
 
 #: Words that say a bracket holds a sound or a transcriber's note, as beginnings of words in lower case.
 SOUNDS = (
@@ -27,19 +28,23 @@ SOUNDS = (
 #: Words before a speaker's number.
 SPEAKER_WORDS = ("speaker", "спикер", "sprecher", "spk", "s")
 #: Words that show a text is German, where a bare "er" or "um" is a word and no filler.
-GERMAN = ("erst", "nur", "bitte", "nach", "bis", "der", "die", "das", "und", "ist", "nicht", "ein", "eine", "wir", "ich", "es", "zu", "den", "dem", "von", "mit", "war", "hat", "wenn", "dass")
+GERMAN = frozenset(("erst", "nur", "bitte", "nach", "bis", "der", "die", "das", "und", "ist", "nicht", "ein", "eine", "wir", "ich", "es", "zu", "den", "dem", "von", "mit", "war", "hat", "wenn", "dass"))
 
 _FILLER = r"(?:u+h+m*|u+m+|e+r+m+|er+|h+m+|m+h+m*|m{2,}|ä+h+m*|ö+h*m*|э+(?:-э+)*м*|м{2,}|хм+)"
-FILLERS = regex.compile(rf"(?<![\w-]){_FILLER}(?![\w-])(?:\.{{2,}}|…|,)?", regex.I)
+FILLERS = re.compile(rf"(?<![\w-]){_FILLER}(?![\w-])(?:\.{{2,}}|…|,)?", re.I)
 _CLOCK = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _FULL = r"\d{1,3}:\d{2}:\d{2}(?:[.,]\d{1,3})?"
-_STAMP = rf"(?:[\[(<]\s*(?:{_CLOCK}|\d+(?:[.,]\d+)?\s*s)\s*(?:-->?\s*{_CLOCK}\s*)?[\])>]|{_FULL}(?:\s*-->(?:\s*{_FULL})?)?)"
-STAMPS = regex.compile(_STAMP)
-SQUARE = regex.compile(r"\(\([^()]*\)\)|\[[^\[\]]*\]|<[^<>]*>|\*[^*]+\*|[♪♫][^♪♫]*[♪♫]|[♪♫]")
-ROUND = regex.compile(r"\(([^()]*)\)")
-SOUND = regex.compile(rf"(?<!\w)(?:{'|'.join(SOUNDS)})", regex.I)
-WORD = regex.compile(r"\w")
-SPACES = regex.compile(r"\s+")
+STAMPS = re.compile(rf"(?:[\[(<]\s*(?:{_CLOCK}|\d+(?:[.,]\d+)?\s*s)\s*(?:-->?\s*{_CLOCK}\s*)?[\])>]|{_FULL}(?:\s*-->(?:\s*{_FULL})?)?)\s*")
+NOTES = re.compile(r"\(\([^()]*\)\)|\[[^\[\]]*\]|<[^<>]*>|\*[^*]+\*|[♪♫][^♪♫]*[♪♫]|[♪♫]")
+ROUND = re.compile(r"\(([^()]*)\)")
+SOUND = re.compile(rf"(?<!\w)(?:{'|'.join(SOUNDS)})", re.I)
+MARKS = re.compile(r"[\[(<*♪♫:]")
+WORD = re.compile(r"\w")
+WORDS = re.compile(r"\w+")
+SPACES = re.compile(r"\s+")
+BEFORE_MARK = re.compile(r"\s+([,.;:!?…])")
+LOOSE_MARKS = tuple(f" {c}" for c in ",.;:!?…")
+NUMBERED = re.compile(rf"(?:{'|'.join(SPEAKER_WORDS)})[\s_]*#?\s*(\d{{1,9}})", re.I)
 
 
 @dataclass
@@ -52,44 +57,63 @@ class Parsed:
 class Grammar:
     """Reads the head of a text (timestamps and at most one speaker label, in either order) and cleans the rest.
 
-    aliases maps lower-case names to speaker numbers. A label is a name or a numbered speaker that stands in square or round
-    or angle brackets, or after '>>', or before a colon or a dash with a space on both sides.
+    aliases maps lower-case names to speaker numbers. A label is a name or a numbered speaker that stands in square, round
+    or angle brackets, or after '>>' and before a colon, or before a colon or a dash with a space on both sides.
     """
 
     def __init__(self, aliases: dict[str, int]):
         self.aliases = aliases
-        names = "|".join(regex.escape(a) for a in sorted(aliases, key=len, reverse=True))
-        numbered = rf"(?:{'|'.join(SPEAKER_WORDS)})[\s_]*\#?\s*(?P<n>\d{{1,9}})"
-        who = rf"(?:{numbered}" + (rf"|(?P<a>{names})" if names else "") + r")"
-        self.label = regex.compile(
-            rf"(?:\[\s*{who}\s*\]\s*:?|\(\s*{who}\s*\)\s*:?|<\s*{who}\s*>\s*:?|>>\s*{who}\s*:|{who}\s*:(?!\d)|{who}\s+[-–—](?=\s|$))\s*", regex.I
-        )
-        self.stamp = regex.compile(rf"{_STAMP}\s*")
+        most = max([30, *map(len, aliases)])
+        held = {"[": (r"\[", r"\]", r"\[\]"), "(": (r"\(", r"\)", "()"), "<": ("<", ">", "<>")}
+        self.held = {k: re.compile(rf"{a}\s*([^{no}]{{1,{most}}}?)\s*{z}\s*:?\s*") for k, (a, z, no) in held.items()}
+        self.quoted = re.compile(rf">>\s*([^:]{{1,{most}}}?)\s*:\s*")
+        self.bare = re.compile(rf"([\w#][\w# .'-]{{0,{most}}}?)\s*:(?!\d)\s*"), re.compile(rf"([\w#][\w# .']{{0,{most}}}?)\s+[-–—](?:\s+|$)")
+
+    def who(self, name: str) -> int | None:
+        name = SPACES.sub(" ", name.lower())
+        found = self.aliases.get(name)
+        if found is None and (m := NUMBERED.fullmatch(name)):
+            found = int(m[1])
+        return found if found is None or found < 2**31 else None
+
+    def label(self, text: str, pos: int) -> tuple[int, int] | None:
+        """(speaker, end of the label), if there is one here."""
+        first = text[pos : pos + 1]
+        if first in self.held:
+            tries = (self.held[first],)
+        elif first == ">":
+            tries = (self.quoted,)
+        else:
+            tries = self.bare
+        for pattern in tries:
+            if (m := pattern.match(text, pos)) and (speaker := self.who(m[1])) is not None:
+                return speaker, m.end()
+        return None
 
     def parse(self, text: str | None) -> Parsed:
         if text is None:
             return Parsed(None, "", False)
-        pos, speaker, known = len(text) - len(text.lstrip()), None, False
-        while True:
-            if m := self.stamp.match(text, pos):
-                pos = m.end()
-            elif not known and (m := self.label.match(text, pos)):
-                d = m.groupdict()
-                known, speaker = True, int(d["n"]) if d.get("n") is not None else self.aliases[SPACES.sub(" ", d["a"].lower())]
-                speaker = speaker if speaker < 2**31 else None
+        pos, speaker = len(text) - len(text.lstrip()), None
+        while pos < len(text):
+            if (text[pos] in "[(<" or text[pos].isdigit()) and (m := STAMPS.match(text, pos)):
                 pos = m.end()
+            elif speaker is None and (found := self.label(text, pos)):
+                speaker, pos = found
             else:
                 break
-        body = STAMPS.sub(" ", text[pos:])
-        body = SQUARE.sub(" ", body)
-        body = ROUND.sub(lambda m: " " if SOUND.search(m[1]) or not WORD.search(m[1]) else m[0], body)
+        body = text[pos:]
+        if MARKS.search(body):
+            body = NOTES.sub(" ", STAMPS.sub(" ", body))
+            body = ROUND.sub(lambda m: " " if SOUND.search(m[1]) or not WORD.search(m[1]) else m[0], body)
         if FILLERS.search(body):
-            german = any(w in GERMAN for w in regex.findall(r"\w+", body.lower()))
+            german = any(w in GERMAN for w in WORDS.findall(body.lower()))
             body = FILLERS.sub(lambda m: m[0] if german and m[0].lower() in ("er", "um") else " ", body)
-        body = SPACES.sub(" ", body).strip()
-        body = regex.sub(r"\s+([,.;:!?…])", r"\1", body)
-        spoken = bool(WORD.search(body))
-        return Parsed(speaker, body if spoken else "", spoken)
+        if not WORD.search(body):
+            return Parsed(speaker, "", False)
+        body = " ".join(body.split())
+        if any(m in body for m in LOOSE_MARKS):
+            body = BEFORE_MARK.sub(r"\1", body)
+        return Parsed(speaker, body, True)
 
 
 def fresh_words(before: str, text: str) -> str:
@@ -189,7 +213,8 @@ def speaker_turns(timed_text: DataFrame, diarization_segment: DataFrame, speaker
     A null start_time comes first. Rows with a null rec_id or seg_id do not count; repeated rows count once; empty tables give
     no rows. Extra columns, of any name, are ignored.
     """
-    texts = spoken_texts(timed_text, alias_map(speaker_alias))
+    # Two branches read the parsed texts below: written once, they are parsed once.
+    texts = materialize(spoken_texts(timed_text, alias_map(speaker_alias)), "spoken-texts")
     heard = covering_speaker(texts.filter("label is null"), speaker_periods(diarization_segment))
     rows = texts.join(heard, ["rec_id", "seg_id"], "left")
     slot = F.coalesce(F.floor(F.col("start_time") / slot_s), F.lit(-(2**50))).cast("bigint")

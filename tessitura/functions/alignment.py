@@ -185,18 +185,19 @@ def _match(t: dict | None, j: int | None, p: str | None) -> dict:
 _FIELDS = [f.name for f in ALIGNED.fields]
 
 
-def align_texts(truth: str | None, pred: str | None) -> dict:
+def align_texts(truth: str | None, pred: str | list[str] | None) -> dict:
+    """Alignment of a truth's text with a hypothesis, a text or a list of words; unreadable truths give their error."""
     if truth is None or pred is None:
         return dict.fromkeys(_FIELDS)
     try:
-        return align(parse(truth), [t for t, _, _ in tokens_py(pred)]) | {"error": None}
+        return align(parse(truth), [t for t, _, _ in tokens_py(pred)] if isinstance(pred, str) else list(pred)) | {"error": None}
     except MultivariantError as e:
         return dict.fromkeys(_FIELDS) | {"error": str(e)}
 
 
 @F.pandas_udf(ALIGNED)
 def aligned(truth: pd.Series, pred: pd.Series) -> pd.DataFrame:
-    """Alignment of a truth (with variants) and a hypothesis, both texts. Null for a null text; a truth that cannot be read gives its error."""
+    """Alignment of a truth (a text, with variants) and a hypothesis (a text or an array of words). Null for a null text; a truth that cannot be read gives its error."""
     return pd.DataFrame([align_texts(a, b) for a, b in zip(truth, pred)], columns=_FIELDS)
 
 

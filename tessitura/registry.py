@@ -1,6 +1,12 @@
-"""All queries of the reference's own operators; see the modules in plans."""
+"""All queries of the general engine, by name."""
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _name in ("basics", "alignment", "joins", "aggregates"):
+    _module = importlib.import_module(f"tessitura.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE

@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _name in ("basics", "alignment", "joins", "aggregates", "sequences"):
+for _name in ("basics", "alignment", "joins", "aggregates", "sequences", "streams"):
     _module = importlib.import_module(f"tessitura.plans.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -52,3 +52,14 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Tasks for work that is heavy for its size, which partition sizes alone would put into too few."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def at_least_parallel(df: DataFrame) -> DataFrame:
+    """df as it is if it is read in as many pieces as there are cores, else spread over them, for expensive functions that follow."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

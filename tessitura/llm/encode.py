@@ -10,7 +10,7 @@ which all neighbours do is the encoding of its text.
 
 from __future__ import annotations
 
-import os
+import base64
 from functools import lru_cache
 
 import numpy as np
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura.session import at_least_parallel
+
 #: Characters: a text longer than this is cut, into leaves of at most this.
 LONG, LEAF = 16_384, 8_192
 #: Bytes: a single unsplit word longer than this is halved.
 WORD = 2_048
-#: Characters given to the tokenizer at once; its own records take some hundred bytes for each token.
-BATCH = 1 << 18
 #: Fixed value: how byte-level BPE of this vocabulary splits text into words.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 JOINT = regex.compile(r"(?<=\S)[ \n]")
@@ -34,59 +34,43 @@ IDS = T.ArrayType(T.IntegerType())
 
 
 def default_tokenizer() -> str:
-    """Path of byte_bpe_50k.json among the installed public tokenizers."""
+    """Path of byte_bpe_50k.tiktoken among the installed public tokenizers."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
-
-
-def _byte_letters() -> list[str]:
-    """Byte -> the letter that stands for it in the vocabulary: printable bytes for themselves, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, n = [], 0
-    for b in range(256):
-        out.append(chr(b) if b in plain else chr(256 + n))
-        n += b not in plain
-    return out
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 class Encoder:
+    """A vocabulary file of ranks: lines of a token in base64 and its id, the id being the rank of its merge."""
+
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.word = Tokenizer(self.whole.model)  # without splitting: bytes as letters
-        self.letters = _byte_letters()
-
-    def texts(self, texts: list[str]) -> list[list[int]]:
-        out, batch, size = [], [], 0
-        fast = getattr(self.whole, "encode_batch_fast", self.whole.encode_batch)
-        for t in texts:
-            batch.append(t)
-            size += len(t)
-            if size >= BATCH:
-                out += [e.ids for e in fast(batch, add_special_tokens=False)]
-                batch, size = [], 0
-        return out + [e.ids for e in fast(batch, add_special_tokens=False)]
-
-    def bytes_as_letters(self, text: str) -> str:
-        return "".join(map(self.letters.__getitem__, text.encode("utf-8", "surrogatepass")))
-
-    def piece(self, letters: str) -> list[int]:
-        return self.word.encode(letters, add_special_tokens=False).ids
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.bpe = tiktoken.Encoding("corpus", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def text(self, text: str) -> list[int]:
+        """Ids of a text; what reads like a special token is ordinary text."""
+        return self.bpe.encode_ordinary(text)
+
+    def piece(self, word: bytes) -> list[int]:
+        """Ids of one word, or a part of one, as bytes that are not split before merging."""
+        return self.bpe._core_bpe.encode_single_piece(word)
+
+    def spelled(self, ids: list[int]) -> bytes:
+        return self.bpe.decode_bytes(ids)
 
     def pair(self, a: int, b: int) -> bool:
         """Whether two neighbouring tokens are the encoding of their own text."""
-        return self.piece(self.word.id_to_token(a) + self.word.id_to_token(b)) == [a, b]
+        return self.piece(self.spelled([a, b])) == [a, b]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of one word from those of its two halves."""
         k = 1
         while True:
             a, b = max(0, len(left) - k), min(len(right), k)
-            window = self.piece("".join(map(self.word.id_to_token, left[a:] + right[:b])))
+            window = self.piece(self.spelled(left[a:] + right[:b]))
             if (a == 0 or self.pair(left[a - 1], window[0])) and (b == len(right) or self.pair(window[-1], right[b])):
                 return left[:a] + window + right[b:]
             k *= 2
@@ -100,32 +84,46 @@ class Encoder:
         return parts[0] if parts else []
 
 
+def glued(e: Encoder, parts: list[tuple[int, list[int]]]) -> list[int]:
+    """Ids of a text from those of its leaves, in order."""
+    ids, word = [], []
+    for part, own in parts:
+        if part != 2 and word:
+            ids += e.tree(word)
+            word = []
+        if part:
+            word.append(own)
+        else:
+            ids += own
+    return ids + e.tree(word)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def leaves(text: str, letters, leaf: int = LEAF, word: int = WORD) -> list[tuple[int, str]]:
-    """Cuts a text: (0, text) for leaves on their own, (1, letters) for the first part of a halved word, (2, letters) for its others."""
+def leaves(text: str, leaf: int = LEAF, word: int = WORD) -> list[tuple[int, bytes]]:
+    """Cuts a text, as UTF-8: (0, text) for leaves on their own, (1, part) for the first part of a halved word, (2, part) for its others."""
     out, pos = [], 0
     while len(text) - pos > leaf:
         cut = max(text.rfind(" ", pos + 1, pos + leaf), text.rfind("\n", pos + 1, pos + leaf))
         while cut > pos and text[cut - 1].isspace():
             cut = max(text.rfind(" ", pos + 1, cut), text.rfind("\n", pos + 1, cut))
         if cut > pos:
-            out.append((0, text[pos:cut]))
+            out.append((0, text[pos:cut].encode()))
             pos = cut
             continue
         m = JOINT.search(text, pos + leaf - 1)
         end = m.start() if m else len(text)
-        out += _unsplit(text[pos:end], letters, leaf, word)
+        out += _unsplit(text[pos:end], leaf, word)
         pos = end
     if pos < len(text):
-        out.append((0, text[pos:]))
+        out.append((0, text[pos:].encode()))
     return out
 
 
-def _unsplit(text: str, letters, leaf: int, word: int) -> list[tuple[int, str]]:
+def _unsplit(text: str, leaf: int, word: int) -> list[tuple[int, bytes]]:
     """Leaves of text that offers no place to cut: between its words, as the tokenizer splits it, and within long ones."""
     out, group = [], []
 
@@ -135,8 +133,8 @@ def _unsplit(text: str, letters, leaf: int, word: int) -> list[tuple[int, str]]:
         while n and text[group[n - 1][1] - 1].isspace():
             n -= 1
         if n:
-            out.append((0, text[group[0][0] : group[n - 1][1]]))
-        out.extend((1, letters(text[a:b])) for a, b in group[n:])
+            out.append((0, text[group[0][0] : group[n - 1][1]].encode()))
+        out.extend((1, text[a:b].encode()) for a, b in group[n:])
         group.clear()
 
     for m in PATTERN.finditer(text):
@@ -147,7 +145,7 @@ def _unsplit(text: str, letters, leaf: int, word: int) -> list[tuple[int, str]]:
             group.append((a, b))
             continue
         flush()
-        own = letters(text[a:b])
+        own = text[a:b].encode()
         n = 1
         while len(own) > n * word:  # halves of halves
             n *= 2
@@ -174,41 +172,29 @@ def encode_corpus(df: DataFrame, ident: str = "doc_id", text: str = "text", path
 
     @F.arrow_udf(IDS)
     def encode(t: pa.Array) -> pa.Array:
-        return _ids_array(encoder(path).texts([x or "" for x in t.to_pylist()]))
+        e = encoder(path)
+        return _ids_array([e.text(x) if x else [] for x in t.to_pylist()])
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("t", T.StringType())])))
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("b", T.BinaryType())])))
     def cut(t: pd.Series) -> pd.Series:
-        e = encoder(path)
-        return pd.Series([[{"part": a, "t": b} for a, b in leaves(x, e.bytes_as_letters, leaf, word)] for x in t])
+        return pd.Series([[{"part": a, "b": b} for a, b in leaves(x, leaf, word)] for x in t])
 
     @F.arrow_udf(IDS)
-    def encode_leaf(part: pa.Array, t: pa.Array) -> pa.Array:
+    def encode_leaf(part: pa.Array, b: pa.Array) -> pa.Array:
         e = encoder(path)
-        part, t = part.to_pylist(), t.to_pylist()
-        plain = iter(e.texts([x for p, x in zip(part, t) if p == 0]))
-        return _ids_array([next(plain) if p == 0 else e.piece(x) for p, x in zip(part, t)])
+        return _ids_array([e.piece(x) if p else e.text(x.decode()) for p, x in zip(part.to_pylist(), b.to_pylist())])
 
     @F.arrow_udf(IDS)
     def concatenate(rows: pa.Array) -> pa.Array:
-        e, out = encoder(path), []
-        for row in rows.to_pylist():
-            ids, open_word = [], []
-            for x in row:
-                if x["part"] != 2 and open_word:
-                    ids += e.tree(open_word)
-                    open_word = []
-                if x["part"] == 0:
-                    ids += x["ids"]
-                else:
-                    open_word.append(x["ids"])
-            out.append(ids + e.tree(open_word))
-        return _ids_array(out)
+        e = encoder(path)
+        return _ids_array([glued(e, [(x["part"], x["ids"]) for x in row]) for row in rows.to_pylist()])
 
     rows = df.select(F.col(ident).alias("i"), F.col(text).alias("t"))
-    short = rows.filter(F.coalesce(F.length("t"), F.lit(0)) <= long).select("i", encode("t").alias("ids"))
-    # A row's number names it while its leaves are apart; it is given before the shuffle, from the order within files.
-    big = rows.filter(F.length("t") > long).withColumn("row", F.monotonically_increasing_id())
-    parts = big.select("i", "row", F.posexplode(cut("t")).alias("pos", "x")).select("i", "row", "pos", "x.*")
-    parts = parts.repartition(F.col("row"), F.col("pos")).select("i", "row", "pos", "part", encode_leaf("part", "t").alias("ids"))
-    whole = parts.groupBy("row").agg(F.first("i").alias("i"), F.array_sort(F.collect_list(F.struct("pos", "part", "ids"))).alias("leaves"))
-    return short.unionAll(whole.select("i", concatenate("leaves").alias("ids"))).select(F.col("i").alias(ident), "ids")
+    short = at_least_parallel(rows).filter(F.coalesce(F.length("t"), F.lit(0)) <= long).select("i", encode("t").alias("ids"))
+    # While its leaves are apart a long text is known by its row's id and its hash; equal rows are encoded once and counted.
+    big = rows.filter(F.length("t") > long).groupBy("i", F.sha2("t", 256).alias("h")).agg(F.first("t").alias("t"), F.count("*").alias("n"))
+    parts = big.select("i", "h", "n", F.posexplode(cut("t")).alias("pos", "x")).select("i", "h", "n", "pos", "x.*")
+    parts = parts.repartition("i", "h", "pos").select("i", "h", "n", "pos", "part", encode_leaf("part", "b").alias("ids"))
+    whole = parts.groupBy("i", "h").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "part", "ids"))).alias("leaves"))
+    whole = whole.select("i", "n", concatenate("leaves").alias("ids")).select("i", "ids", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return short.unionAll(whole.select("i", "ids")).select(F.col("i").alias(ident), "ids")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura.session import materialize, parallelism
+
 #: Letters of the same shape, as Latin, Cyrillic, Greek; '.' where the script has none.
 SAME_SHAPE = """
 A А Α
@@ -213,7 +215,10 @@ def lookalike_pairs(df: DataFrame, within: list[str], ident: str, text: str) ->
     for b in by:
         rows = rows.filter(F.col(b).isNotNull())
     rows = rows.distinct()
-    texts = rows.select(*by, "__t").distinct().select(*by, "__t", consistent_form("__t")["form"].alias("__f")).filter("trim(__f) != ''")
+    # The forms are read by several branches below: written once, they are made once.
+    texts = rows.select(*by, "__t").distinct().repartition(parallelism(df.sparkSession), *by, "__t")
+    texts = materialize(texts.select(*by, "__t", consistent_form("__t")["form"].alias("__f")), "forms")
+    texts = texts.filter("trim(__f) != ''")
     # Only forms with several spellings go on; counting is a partial aggregate, so copies cost nothing.
     several = texts.groupBy(*by, F.xxhash64("__f").alias("__h")).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
     texts = texts.withColumn("__h", F.xxhash64("__f")).join(several, [*by, "__h"], "left_semi")

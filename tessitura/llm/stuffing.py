@@ -8,12 +8,17 @@ clause structure count. A page is stuffed if more than half of its characters co
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura.session import at_least_parallel
+
 #: Words that hold sentences together, in English, German and Russian: each counts 1 towards a clause.
 BINDING = frozenset("""
 the a an this that these those every each nobody somebody everyone everything nothing i we you he she it they us them him our your his her its their my who whom which what why how when where whether
@@ -53,11 +58,51 @@ SPEECH = regex.compile(r"^\s*(?:[-–—•*>]+\s+|[\p{L}][\p{L}\p{M}\p{N} _.-]{
 ANSWER = regex.compile(r"^[^.!?…\n|/;,]{1,40}[.!?…]+\s*$|^\([^()\n]*\)\s*$")
 
 
+#: Words: the automaton of a page beyond this would take hundreds of MB; its suffixes are sorted instead, with the same result.
+AUTOMATON_WORDS = 100_000
+
+
+def repeated_sorted(tokens: list) -> list[bool]:
+    """Which tokens lie in a stretch that occurs twice, from the sorted suffixes: each shares its longest repeat with a neighbour."""
+    n = len(tokens)
+    ids: dict = {}
+    start = np.fromiter((ids.setdefault(t, len(ids)) for t in tokens), np.int64, n)
+    rank, width = start, 1
+    while True:  # sorting by the first 2 * width tokens
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:] + 1
+        order = np.argsort(key, kind="stable")
+        fresh = np.ones(n, bool)
+        fresh[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(fresh) - 1
+        width *= 2
+        if fresh.all() or width >= n:
+            break
+    order, rank, start = array("q", order.tobytes()), array("q", rank.tobytes()), array("q", start.tobytes())
+    longest, common = array("q", bytes(8 * n)), 0
+    for p in range(n):
+        r = rank[p]
+        if r:
+            q = order[r - 1]
+            while p + common < n and q + common < n and start[p + common] == start[q + common]:
+                common += 1
+            longest[p], longest[q] = max(longest[p], common), max(longest[q], common)
+        common = max(common - 1, 0)
+    out, reach = [False] * n, 0
+    for p in range(n):
+        reach = max(reach, p + longest[p])
+        out[p] = p < reach
+    return out
+
+
 def repeated(tokens: list, least: int = 2) -> list[bool]:
     """Which tokens lie in a stretch that occurs at least ``least`` times, by a suffix automaton, in linear time."""
     n = len(tokens)
     if n < 2:
         return [False] * n
+    if n > AUTOMATON_WORDS and least == 2:
+        return repeated_sorted(tokens)
     go, link, length, count = [{}], [-1], [0], [0]
     last, at = 0, []
     for t in tokens:
@@ -105,8 +150,15 @@ def repeated(tokens: list, least: int = 2) -> list[bool]:
     return out
 
 
+_PLACES: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
+for _phrase in OFFERS:
+    for _k, _w in enumerate(_phrase):
+        _PLACES.setdefault(_w, []).append((_k, _phrase))
+
+
 def _offered(words: list[str], i: int) -> bool:
-    return any(w == words[i] and tuple(words[i - k : i - k + len(p)]) == p for p in OFFERS for k, w in enumerate(p) if i >= k)
+    places = _PLACES.get(words[i])
+    return places is not None and any(i >= k and tuple(words[i - k : i - k + len(p)]) == p for k, p in places)
 
 
 def is_clause(words: list[str], ended: bool) -> bool:
@@ -130,7 +182,8 @@ def stuffed_share(text: str | None) -> float:
         spans.append(m.span())
         keys.append(m[0].casefold())
         in_link.append(k < len(links) and links[k][0] <= m.start())
-    again = repeated([NUMBER.sub("0", k) for k in keys])  # prices and model numbers count as one
+    figures = [not k.isalpha() and NUMBER.fullmatch(k) is not None for k in keys]
+    again: list[bool] = []  # made for the first unit without clause structure: without any, no page is stuffed
     total = stuffed = 0.0
     block = hit = every = i = 0  # size, counted and all word characters of the current stretch of units without clauses
 
@@ -154,7 +207,7 @@ def stuffed_share(text: str | None) -> float:
                 i += 1
             words = [keys[j] for j in range(first, i) if not in_link[j]]
             units.append((a + x, a + y, first, i, is_clause(words, bool(END.search(text, a + x, a + y)))))
-        numbers = sum(1 for j in range(units[0][2], i) if NUMBER.fullmatch(keys[j]))
+        numbers = sum(figures[units[0][2] : i])
         if CUE.match(body) or (numbers >= 3 and 2 * numbers >= i - units[0][2]):  # a caption's time, a row of figures
             total += width if not CUE.match(body) else 0
             continue
@@ -162,7 +215,9 @@ def stuffed_share(text: str | None) -> float:
         alone, among = len(units) == 1, any(u[4] for u in units)
         for x, y, lo, hi, clause in units:
             # Links inside a sentence belong to it; so do short answers that stand alone or among sentences.
-            said = alone or (among and 2 * sum(again[lo:hi]) < hi - lo)
+            if not clause and not again:
+                again = repeated([k if k.isalpha() else NUMBER.sub("0", k) for k in keys])  # prices and model numbers count as one
+            said = not clause and (alone or (among and 2 * sum(again[lo:hi]) < hi - lo))
             if clause or (said and ANSWER.match(text[max(x, a + head) : y].strip()) and not any(in_link[lo:hi])):
                 stuffed += close()
                 block = hit = every = 0
@@ -185,7 +240,7 @@ def _share(text: pd.Series) -> pd.Series:
 
 def stuffing(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, share): the share of each page that is stuffing. A page is read whole and alone, so no shuffle is needed."""
-    return df.select(F.col(ident).alias("__i"), F.col(text).alias("__t")).select(F.col("__i").alias(ident), _share("__t").alias("share"))
+    return at_least_parallel(df.select(F.col(ident).alias("__i"), F.col(text).alias("__t"))).select(F.col("__i").alias(ident), _share("__t").alias("share"))
 
 
 def stuffed_pages(df: DataFrame, ident: str = "doc_id", text: str = "text", over: float = 0.5) -> DataFrame:

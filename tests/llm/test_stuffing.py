@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessitura.llm.stuffing import repeated, stuffed_pages, stuffed_share, stuffing
+from tessitura.llm.stuffing import repeated, repeated_sorted, stuffed_pages, stuffed_share, stuffing
 
 
 def brute(tokens, least=2):
@@ -21,6 +21,10 @@ def test_automaton_against_brute_force():
         t = [rng.choice("abcdefgh"[: rng.randrange(1, 9)]) for _ in range(rng.randrange(0, 14))]
         for least in (2, 3):
             assert repeated(t, least) == brute(t, least)
+        if t:
+            assert repeated_sorted(t) == brute(t)
+    t = [rng.randrange(400) for _ in range(3000)] + ["x"] * 500
+    assert repeated_sorted(t) == repeated(t)
 
 
 STUFFED = [
@@ -52,7 +56,7 @@ def test_fine(text):
 
 
 def test_column(spark):
-    rows = [(i, t, 0.5) for i, t in enumerate([*STUFFED, *FINE, "x" * 200_000, "word " * 50_000])] + [(0, STUFFED[0], 0.1), (None, STUFFED[0], 0.1)]
+    rows = [(i, t, 0.5) for i, t in enumerate([*STUFFED, *FINE, "x" * 200_000, "word " * 150_000])] + [(0, STUFFED[0], 0.1), (None, STUFFED[0], 0.1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, share double")
     got = [r.doc_id for r in stuffed_pages(df).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [*range(len(STUFFED)), len(STUFFED) + len(FINE) + 1, 0, None]))

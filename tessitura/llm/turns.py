@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessitura.operators.intervals import speaker_periods, to_ms
-from tessitura.session import materialize
+from tessitura.session import at_least_parallel, materialize
 
 #: Words that say a bracket holds a sound or a transcriber's note, as beginnings of words in lower case.
 SOUNDS = (
@@ -158,7 +158,8 @@ def spoken_texts(timed_text: DataFrame, aliases: dict[str, int]) -> DataFrame:
         got = [grammar.parse(t) for t in text]
         return pd.DataFrame({"speaker": pd.array([p.speaker for p in got], "Int32"), "text": [p.text for p in got], "spoken": [p.spoken for p in got]})
 
-    rows = timed_text.filter("rec_id is not null and seg_id is not null and text is not null").select("rec_id", "seg_id", "start_time", "end_time", parse("text").alias("p"))
+    rows = timed_text.filter("rec_id is not null and seg_id is not null and text is not null").select("rec_id", "seg_id", "start_time", "end_time", "text")
+    rows = at_least_parallel(rows).select("rec_id", "seg_id", "start_time", "end_time", parse("text").alias("p"))
     return rows.filter("p.spoken").select("rec_id", "seg_id", "start_time", "end_time", F.col("p.speaker").alias("label"), F.col("p.text").alias("clean"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.operators.asof import asof
+from tessitura.operators.windows import previous, running
 
 
 def send_cutoffs(n_samples: Column, rate: Column, interval: float, speed: float = 1.0) -> Column:
@@ -23,31 +24,33 @@ def send_cutoffs(n_samples: Column, rate: Column, interval: float, speed: float
     return F.when(n_samples > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(steps, F.lit(1))), cut))
 
 
-def remap_times(inputs: DataFrame, outputs: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def remap_times(inputs: DataFrame, outputs: DataFrame, by: Sequence[str], slot: int = 600_000_000) -> tuple[DataFrame, DataFrame]:
     """Times of a run without delays as they would be with input chunks put at ``planned``.
 
     inputs: by, seq, planned, get_us; outputs: by, seq, put_us (whole microseconds). Whenever a chunk would be fetched before
     it is put, everything later waits for the difference: so the delay at any time is the largest planned - get of the chunks
     fetched up to then (the first chunk is fetched as it is), which is a running maximum, not a loop.
     """
-    order = W.partitionBy(*by).orderBy("get_us", "seq")
-    lag = F.when(F.row_number().over(order) > 1, F.col("planned") - F.col("get_us"))
-    moved = inputs.withColumn("__lag", lag).withColumn("__delay", F.greatest(F.max("__lag").over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0).cast("bigint")))
+    first = inputs.groupBy(*by).agg(F.min(F.struct("get_us", "seq")).alias("__first"))
+    lag = F.when(F.struct("get_us", "seq") > F.col("__first"), F.col("planned") - F.col("get_us"))
+    moved = running(inputs.join(first, list(by)), by, ["get_us", "seq"], F.floor(F.col("get_us") / slot), {"__most": ("max", lag)})
+    moved = moved.withColumn("__delay", F.greatest("__most", F.lit(0).cast("bigint")))
     ins = moved.select(*by, "seq", F.col("planned").alias("put_us"), (F.col("get_us") + F.col("__delay")).alias("get_us"))
     events = moved.select(*by, F.col("get_us").alias("__g"), F.col("seq").alias("__s"), F.col("__delay").alias("delay"))
-    outs = asof(outputs, events, by, F.col("put_us"), F.col("__g"), F.col("__s"), ["delay"], strict=False, slot=600_000_000)
+    outs = asof(outputs, events, by, F.col("put_us"), F.col("__g"), F.col("__s"), ["delay"], strict=False, slot=slot)
     put = F.col("put_us") + F.coalesce("delay", F.lit(0))
     return ins, outs.select(*by, "seq", put.alias("put_us"), put.alias("get_us"))
 
 
-def rechunk(chunks: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+def rechunk(chunks: DataFrame, by: Sequence[str], size: int, slot: int = 10_000) -> DataFrame:
     """by, piece, n, seq: chunks of n samples cut anew into pieces of exactly ``size``; what is left comes with the last chunk.
 
     chunks: by, seq, n. seq is that of the chunk that completes the piece. Only sums are swept; each chunk names the pieces it
     completes.
     """
-    order = W.partitionBy(*by).orderBy("seq")
-    c = chunks.withColumn("__to", F.sum("n").over(order)).withColumn("__from", F.col("__to") - F.col("n")).withColumn("__last", F.lead("seq").over(order).isNull())
+    ends = chunks.groupBy(*by).agg(F.max("seq").alias("__end"))
+    c = running(chunks, by, ["seq"], F.floor(F.col("seq") / slot), {"__to": ("sum", F.col("n"))}).join(ends, list(by))
+    c = c.withColumn("__from", F.col("__to") - F.col("n")).withColumn("__last", F.col("seq") == F.col("__end"))
     first, full = F.floor(F.col("__from") / size), F.floor(F.col("__to") / size)
     rest = F.col("__last") & (F.col("__to") % size > 0)
     last = full - 1 + rest.cast("bigint")
@@ -55,14 +58,15 @@ def rechunk(chunks: DataFrame, by: Sequence[str], size: int) -> DataFrame:
     return c.select(*by, "piece", F.least(F.lit(size).cast("bigint"), F.col("__to") - F.col("piece") * size).alias("n"), "seq")
 
 
-def known_at(chunks: DataFrame, by: Sequence[str], step_us: int) -> DataFrame:
+def known_at(chunks: DataFrame, by: Sequence[str], step_us: int, slot: int = 600_000_000) -> DataFrame:
     """by, tick, text: the joined text as known before each tick of ``step_us`` after a recording's first put.
 
     chunks: by, seq, key, text, put_us. Each version of a chunk lies in the ticks from its put to that of the next version of
     its key; a chunk keeps the place where it was first seen.
     """
-    w = W.partitionBy(*by, "key").orderBy("put_us", "seq")
-    v = chunks.withColumn("__next", F.lead("put_us").over(w)).withColumn("__first", F.min("seq").over(W.partitionBy(*by, "key")))
+    back = chunks.withColumns({"__t": -F.col("put_us"), "__i": -F.col("seq")})
+    v = previous(back, [*by, "key"], ["__t", "__i"], F.floor(F.col("__t") / slot), {"__next": "put_us"})
+    v = v.join(chunks.groupBy(*by, "key").agg(F.min("seq").alias("__first")), [*by, "key"])
     ends = chunks.groupBy(*by).agg(F.min("put_us").alias("__a"), F.max("put_us").alias("__b"))
     v = v.join(ends, list(by))
     last_tick = F.ceil((F.col("__b") - F.col("__a")) / step_us)

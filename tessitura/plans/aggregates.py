@@ -11,8 +11,17 @@ from tessitura.operators.asof import micros
 from tessitura.operators.intervals import to_ms
 from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
 from tessitura.plans.joins import _OUT, _out
+from tessitura.operators.windows import previous, running, trailing
 from tessitura.session import table
 
+#: Slots of time in which long sequences are swept: a week of events, ten minutes of a stream.
+WEEK_US, STREAM_US = 7 * 86_400_000_000, 600_000_000
+
+
+def _slot(ts: str, width: int = WEEK_US):
+    return F.floor(micros(ts) / width)
+
+
 QUERIES, ORACLE = {}, {}
 
 
@@ -98,13 +107,13 @@ def inflight_count(spark: SparkSession, sf: str) -> DataFrame:
     o = _out(spark, sf).filter("get_ts is not null")
     ev = o.select("rec_id", F.explode(F.array(F.struct(F.col("put_ts").alias("t"), F.lit(1).alias("d")), F.struct(F.col("get_ts").alias("t"), F.lit(-1).alias("d")))).alias("x"))
     g = ev.groupBy("rec_id", micros("x.t").alias("t_us")).agg(F.sum("x.d").alias("d"))
-    return g.select("rec_id", "t_us", F.sum("d").over(W.partitionBy("rec_id").orderBy("t_us")).alias("inflight"))
+    return running(g, ["rec_id"], ["t_us"], F.floor(F.col("t_us") / STREAM_US), {"inflight": ("sum", F.col("d"))}).select("rec_id", "t_us", "inflight")
 
 
 @query("select event_id, avg(value) over (partition by user_id order by ts, event_id rows between 19 preceding and current row) as smooth from events")
 def moving_average(spark: SparkSession, sf: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-19, 0)
-    return table(spark, sf, "events").select("event_id", F.avg("value").over(w).alias("smooth"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    return trailing(e, ["user_id"], ["ts", "event_id"], _slot("ts"), 20, lambda w: F.avg("value").over(w), "smooth").select("event_id", "smooth")
 
 
 @query("""with r as (select rec_id, dataset_name, max(len(audio.array) / audio.sampling_rate) as sec from recording where audio.sampling_rate > 0 and audio.array is not null group by 1, 2)
@@ -148,7 +157,8 @@ def domain_vocab(spark: SparkSession, sf: str) -> DataFrame:
 m as (select user_id, max(lag) as most from l where lag is not null group by 1) select quantile_cont(most, 0.95) as p95 from m""")
 def p95_lag(spark: SparkSession, sf: str) -> DataFrame:
     lag = (micros("ts") - micros("before")) / 1e6
-    e = table(spark, sf, "events").withColumn("before", F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))).filter("before is not null")
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id")
+    e = previous(e, ["user_id"], ["ts", "event_id"], _slot("ts"), {"before": "ts"}).filter("before is not null")
     return e.groupBy("user_id").agg(F.max(lag).alias("most")).agg(F.percentile("most", 0.95).alias("p95"))
 
 
@@ -156,22 +166,26 @@ def p95_lag(spark: SparkSession, sf: str) -> DataFrame:
 g as (select *, sum((before is null or before <> event_type)::int) over (partition by user_id order by ts, event_id) as g, row_number() over (partition by user_id order by ts, event_id) - 1 as i from x)
 select user_id, event_type, min(i) as first, max(i) + 1 as last from g group by user_id, g, event_type""")
 def run_length_spans(spark: SparkSession, sf: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    x = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", F.lag("event_type").over(w).alias("before"))
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    x = previous(e, ["user_id"], ["ts", "event_id"], _slot("ts"), {"before": "event_type"})
     fresh = (F.col("before").isNull() | (F.col("before") != F.col("event_type"))).cast("int")
-    g = x.withColumn("g", F.sum(fresh).over(w)).withColumn("i", F.row_number().over(w) - 1)
-    return g.groupBy("user_id", "g", "event_type").agg(F.min("i").cast("bigint").alias("first"), (F.max("i") + 1).cast("bigint").alias("last")).select("user_id", "event_type", "first", "last")
+    g = running(x, ["user_id"], ["ts", "event_id"], _slot("ts"), {"g": ("sum", fresh), "i": ("sum", F.lit(1))})
+    return g.groupBy("user_id", "g", "event_type").agg((F.min("i") - 1).alias("first"), F.max("i").alias("last")).select("user_id", "event_type", "first", "last")
 
 
 @query("""with x as (select event_id, user_id, value, lag(value) over (partition by user_id order by ts, event_id) as before from events) select user_id, count(*) as n from x where value < before group by 1""")
 def monotonic_violations(spark: SparkSession, sf: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf, "events").withColumn("before", F.lag("value").over(w)).filter("value < before").groupBy("user_id").agg(F.count("*").alias("n"))
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    return previous(e, ["user_id"], ["ts", "event_id"], _slot("ts"), {"before": "value"}).filter("value < before").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 _TIMED = "tok as (select rec_id, token_id, value, start_time, end_time from (select distinct rec_id, token_id, value, start_time, end_time from transcript_token) where start_time is not null and end_time is not null)"
 
 
+#: Tokens of one slot.
+TOKENS = 10_000
+
+
 def _timed(spark, sf):
     return table(spark, sf, "transcript_token").select("rec_id", "token_id", "value", "start_time", "end_time").distinct().filter("start_time is not null and end_time is not null")
 
@@ -180,29 +194,29 @@ def _timed(spark, sf):
 coalesce(min(case when token_id % 4 <> 0 then start_time end) over (partition by rec_id order by token_id rows between 1 following and unbounded following), 1000) as right_start from tok qualify token_id % 4 = 0""")
 def insertion_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Where an inserted word can lie: behind all words before it and before all behind (every fourth token taken for an insertion)."""
-    w = W.partitionBy("rec_id").orderBy("token_id")
     kept = F.col("token_id") % 4 != 0
-    left = F.max(F.when(kept, F.col("end_time"))).over(w.rowsBetween(W.unboundedPreceding, -1))
-    right = F.min(F.when(kept, F.col("start_time"))).over(w.rowsBetween(1, W.unboundedFollowing))
-    t = _timed(spark, sf).select("rec_id", "token_id", F.coalesce(left, F.lit(0.0)).alias("left_end"), F.coalesce(right, F.lit(1000.0)).alias("right_start"))
-    return t.filter("token_id % 4 = 0")
+    t = _timed(spark, sf).withColumn("back", -F.col("token_id"))
+    t = running(t, ["rec_id"], ["token_id"], F.floor(F.col("token_id") / TOKENS), {"l": ("max", F.when(kept, F.col("end_time")))}, inclusive=False)
+    t = running(t, ["rec_id"], ["back"], F.floor(F.col("back") / TOKENS), {"r": ("min", F.when(kept, F.col("start_time")))}, inclusive=False)
+    return t.filter("token_id % 4 = 0").select("rec_id", "token_id", F.coalesce("l", F.lit(0.0)).alias("left_end"), F.coalesce("r", F.lit(1000.0)).alias("right_start"))
 
 
 @query("""with x as (select event_id, user_id, bool_and(event_type in ('view', 'click')) over (partition by user_id order by ts desc, event_id desc) as tail from events) select user_id, event_id from x where tail""")
 def not_yet_tail(spark: SparkSession, sf: str) -> DataFrame:
     """The run at the end of each stream in which only views and clicks follow."""
-    w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = table(spark, sf, "events").select("user_id", "event_id", F.min(F.col("event_type").isin("view", "click")).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("tail"))
-    return e.filter("tail").select("user_id", "event_id")
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", (-micros("ts")).alias("t"), (-F.col("event_id")).alias("i"))
+    e = running(e, ["user_id"], ["t", "i"], F.floor(F.col("t") / WEEK_US), {"tail": ("min", F.col("event_type").isin("view", "click").cast("int"))})
+    return e.filter("tail = 1").select("user_id", "event_id")
 
 
 @query(f"""with {_TIMED}, n as (select *, lag(end_time) over (partition by rec_id order by token_id) as a, lead(start_time) over (partition by rec_id order by token_id) as b from tok)
 select token_id, coalesce(a, 0) as start_time, coalesce(b, 1000) as end_time from n where token_id % 7 = 0""")
 def anything_time_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Times of a wildcard from its neighbours (every seventh token taken for one)."""
-    w = W.partitionBy("rec_id").orderBy("token_id")
-    n = _timed(spark, sf).select("token_id", F.coalesce(F.lag("end_time").over(w), F.lit(0.0)).alias("start_time"), F.coalesce(F.lead("start_time").over(w), F.lit(1000.0)).alias("end_time"))
-    return n.filter("token_id % 7 = 0")
+    t = _timed(spark, sf).withColumn("back", -F.col("token_id"))
+    t = previous(t, ["rec_id"], ["token_id"], F.floor(F.col("token_id") / TOKENS), {"a": "end_time"})
+    t = previous(t, ["rec_id"], ["back"], F.floor(F.col("back") / TOKENS), {"b": "start_time"})
+    return t.filter("token_id % 7 = 0").select("token_id", F.coalesce("a", F.lit(0.0)).alias("start_time"), F.coalesce("b", F.lit(1000.0)).alias("end_time"))
 
 
 _TEXTS = """ch as (select rec_id, seq, uid, text, put_ts, coalesce(uid, '#' || cast(seq as varchar)) as k from output_chunk

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions.alignment import aligned, capped_errors, word_errors
+from tessitura.operators.windows import previous
 from tessitura.plans.common import SQL_ERRORS, SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
 from tessitura.session import table
 
@@ -103,8 +104,8 @@ def match_status(spark: SparkSession, sf: str) -> DataFrame:
 with w as (select distinct rec_id, token_id, value, lead(value) over (partition by rec_id order by token_id) as nxt from (select distinct rec_id, token_id, value from transcript_token))
 select token_id, levenshtein(value, nxt) as d from w where regexp_full_match(value, '[ -~]+') and regexp_full_match(nxt, '[ -~]+')""")
 def char_distance(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "transcript_token").select("rec_id", "token_id", "value").distinct()
-    t = t.withColumn("nxt", F.lead("value").over(W.partitionBy("rec_id").orderBy("token_id")))
+    t = table(spark, sf, "transcript_token").select("rec_id", "token_id", "value").distinct().withColumn("back", -F.col("token_id"))
+    t = previous(t, ["rec_id"], ["back"], F.floor(F.col("back") / 10_000), {"nxt": "value"})
     return t.filter(F.col("value").rlike("^[ -~]+$") & F.col("nxt").rlike("^[ -~]+$")).select("token_id", F.levenshtein("value", "nxt").cast("bigint").alias("d"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.multivariant import parse_multivariant
 from tessitura.functions.tokenize import tokenize
+from tessitura.operators.windows import running
 from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
 from tessitura.session import shared_folder, table
 from tessitura.sources.registry import pcm16, pending, read_predictions, srt_block, write_predictions
@@ -110,8 +111,8 @@ select rec_id, seg_id, cast(k as varchar) || chr(10)
   || format('{:02d}:{:02d}:{:02d},{:03d}', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || text || chr(10) as srt from n""")
 def srt_render(spark: SparkSession, sf: str) -> DataFrame:
     seg = table(spark, sf, "timed_text").filter("text is not null and start_time is not null and end_time is not null").select("rec_id", "seg_id", "start_time", "end_time", "text").distinct()
-    n = F.row_number().over(W.partitionBy("rec_id").orderBy("start_time", "seg_id"))
-    return seg.select("rec_id", "seg_id", srt_block(n, F.col("start_time"), F.col("end_time"), F.col("text")).alias("srt"))
+    seg = running(seg, ["rec_id"], ["start_time", "seg_id"], F.floor(F.col("start_time") / 600), {"n": ("sum", F.lit(1))})
+    return seg.select("rec_id", "seg_id", srt_block(F.col("n"), F.col("start_time"), F.col("end_time"), F.col("text")).alias("srt"))
 
 
 @query("""

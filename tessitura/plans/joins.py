@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessitura.operators.asof import asof, micros, overlap_pairs
 from tessitura.operators.fuzzy import cosine_topk_blocks, edit_neighbours
 from tessitura.operators.intervals import to_ms
+from tessitura.operators.windows import running
 from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
 from tessitura.functions.tokenize import tokenize
 from tessitura.session import table
@@ -104,8 +105,7 @@ def asof_forward_delay(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""with {_OUT} select rec_id, count(*) as n, sum((put_ts > get_ts)::int) as put_after_get,
 sum((done < m)::int) as went_back from (select *, max(done) over (partition by rec_id order by put_ts, seq rows between unbounded preceding and 1 preceding) m from out) group by 1""")
 def consistency_check(spark: SparkSession, sf: str) -> DataFrame:
-    w = W.partitionBy("rec_id").orderBy("put_ts", "seq").rowsBetween(W.unboundedPreceding, -1)
-    o = _out(spark, sf).withColumn("m", F.max("done").over(w))
+    o = running(_out(spark, sf), ["rec_id"], ["put_ts", "seq"], F.floor(micros("put_ts") / 600_000_000), {"m": ("max", F.col("done"))}, inclusive=False)
     return o.groupBy("rec_id").agg(F.count("*").alias("n"), F.sum((F.col("put_ts") > F.col("get_ts")).cast("int")).alias("put_after_get"), F.sum((F.col("done") < F.col("m")).cast("int")).alias("went_back"))
 
 

@@ -14,6 +14,7 @@ from tessitura.functions.sequences import argmax, chunk_bounds, ctc_collapse as
 from tessitura.functions.tokenize import tokenize
 from tessitura.operators.fuzzy import edit_neighbours
 from tessitura.operators.intervals import to_ms
+from tessitura.operators.windows import previous, running, trailing
 from tessitura.plans.common import SQL_TRUTH, sql_tokens, truth
 from tessitura.plans.joins import _WORDS
 from tessitura.session import table
@@ -31,6 +32,8 @@ def query(sql: str | None = None):
     return add
 
 
+#: Frames of one slot.
+FRAMES = 10_000
 #: Frames: label names the recording, vec_id the frame; symbols are the strongest class, folded to eight.
 _SYM = "f as (select label, vec_id, (list_position(embedding, list_max(embedding)) - 1) % 8 as sym from embeddings where embedding is not null)"
 
@@ -46,7 +49,7 @@ def frame_argmax(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {_SYM} select label, vec_id, cast(sym as integer) as sym from (select *, lag(sym) over (partition by label order by vec_id) as p from f) where sym <> 0 and (p is null or p <> sym)")
 def ctc_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    f = _frames(spark, sf).withColumn("p", F.lag("sym").over(W.partitionBy("label").orderBy("vec_id")))
+    f = previous(_frames(spark, sf), ["label"], ["vec_id"], F.floor(F.col("vec_id") / FRAMES), {"p": "sym"})
     return f.filter("sym != 0 and (p is null or p != sym)").select("label", "vec_id", "sym")
 
 
@@ -73,9 +76,8 @@ w as (select label, w, min(case when sym <> 0 then i end) as a, max(case when sy
 select label, a / 25 as start_time, (b + 1) / 25 as end_time from w where a is not null""")
 def word_timings(spark: SparkSession, sf: str) -> DataFrame:
     """Words are what stands between spaces (symbol 7), from their first to their last letter, at 25 frames a second."""
-    by = W.partitionBy("label").orderBy("vec_id")
-    s = _frames(spark, sf).withColumn("i", F.row_number().over(by) - 1).withColumn("w", F.sum((F.col("sym") == 7).cast("int")).over(by))
-    letter = F.when(F.col("sym") != 0, F.col("i"))
+    s = running(_frames(spark, sf), ["label"], ["vec_id"], F.floor(F.col("vec_id") / FRAMES), {"i": ("sum", F.lit(1)), "w": ("sum", (F.col("sym") == 7).cast("int"))})
+    letter = F.when(F.col("sym") != 0, F.col("i") - 1)
     w = s.filter("sym != 7").groupBy("label", "w").agg(F.min(letter).alias("a"), F.max(letter).alias("b")).filter("a is not null")
     return w.select("label", (F.col("a") / 25).alias("start_time"), ((F.col("b") + 1) / 25).alias("end_time"))
 
@@ -145,8 +147,8 @@ select rec_id, seg_id, array_to_string(coalesce(h[-10:], []), ' ') as history fr
 def context_history(spark: SparkSession, sf: str) -> DataFrame:
     """The last ten words said before each text: every text has one at least, so ten rows before it are enough."""
     seg = table(spark, sf, "timed_text").filter("text is not null").select("rec_id", "seg_id", "start_time", tokenize(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()
-    w = W.partitionBy("rec_id").orderBy("start_time", "seg_id").rowsBetween(-10, -1)
-    h = seg.select("rec_id", "seg_id", F.flatten(F.collect_list("w").over(w)).alias("h"))
+    slot = F.floor(F.col("start_time") / 600)
+    h = trailing(seg, ["rec_id"], ["start_time", "seg_id"], slot, 10, lambda w: F.flatten(F.collect_list("w").over(w)), "h", own=False)
     last = F.when(F.size("h") > 10, F.slice("h", -10, 10)).otherwise(F.col("h"))
     return h.select("rec_id", "seg_id", F.array_join(last, " ").alias("history"))
 

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions.alignment import aligned
 from tessitura.functions.tokenize import tokenize
 from tessitura.operators.asof import micros
 from tessitura.operators.replay import error_positions as positions, known_at, rechunk as cut_anew, remap_times, send_cutoffs
-from tessitura.plans.aggregates import _TEXTS, _chunks
-from tessitura.plans.common import SQL_TRUTH, truth
+from tessitura.operators.windows import previous, running
+from tessitura.plans.aggregates import _TEXTS, WEEK_US, _chunks
+from tessitura.plans.common import truth
 from tessitura.plans.joins import _OUT, _out
 from tessitura.session import table
 
@@ -53,10 +53,11 @@ def sampling_grid(spark: SparkSession, sf: str) -> DataFrame:
 select rec_id, seq, cast(sum(dn) over (partition by rec_id order by seq) as bigint) as n_chunks, cast(sum(dl) over (partition by rec_id order by seq) as bigint) as n_chars from d""")
 def partial_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks and characters known after every change: each change adds what it differs from its forerunner, so no prefix is joined anew."""
-    w = W.partitionBy("rec_id", "k").orderBy("seq")
-    d = _chunks(spark, sf).withColumn("dl", F.length("text") - F.coalesce(F.lag(F.length("text")).over(w), F.lit(0))).withColumn("dn", F.lag("seq").over(w).isNull().cast("int"))
-    by = W.partitionBy("rec_id").orderBy("seq")
-    return d.select("rec_id", "seq", F.sum("dn").over(by).alias("n_chunks"), F.sum("dl").over(by).alias("n_chars"))
+    slot = F.floor(F.col("seq") / 10_000)
+    c = _chunks(spark, sf).select("rec_id", "k", "seq", F.length("text").alias("n"))
+    d = previous(c, ["rec_id", "k"], ["seq"], slot, {"m": "n"})
+    more = {"n_chunks": ("sum", F.col("m").isNull().cast("int")), "n_chars": ("sum", F.col("n") - F.coalesce("m", F.lit(0)))}
+    return running(d, ["rec_id"], ["seq"], slot, more).select("rec_id", "seq", "n_chunks", "n_chars")
 
 
 @query("""with c as (select distinct rec_id, seq, put_ts, coalesce(is_finish, false) as fin from output_chunk where rec_id is not null and seq is not null),
@@ -96,10 +97,11 @@ union all select o.user_id, o.seq, 'out', o.put_us + coalesce(l.delay, 0), o.put
 def remap_time(spark: SparkSession, sf: str) -> DataFrame:
     """Streams of views and clicks replayed with one chunk every six hours."""
     e = table(spark, sf, "events")
-    k = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    ins = e.filter("event_type in ('view', 'click')").select("user_id", F.col("event_id").alias("seq"), micros("ts").alias("get_us"), (F.lit(1_704_067_200_000_000).cast("bigint") + k * 21_600_000_000).alias("planned"))
+    ins = e.filter("event_type in ('view', 'click')").select("user_id", F.col("event_id").alias("seq"), micros("ts").alias("get_us"))
+    ins = running(ins, ["user_id"], ["get_us", "seq"], F.floor(F.col("get_us") / WEEK_US), {"k": ("sum", F.lit(1))})
+    ins = ins.select("user_id", "seq", "get_us", (F.lit(1_704_067_200_000_000).cast("bigint") + F.col("k") * 21_600_000_000).alias("planned"))
     outs = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("seq"), micros("ts").alias("put_us"))
-    a, b = remap_times(ins, outs, ["user_id"])
+    a, b = remap_times(ins, outs, ["user_id"], WEEK_US)
     return a.select("user_id", "seq", F.lit("in").alias("side"), "put_us", "get_us").unionAll(b.select("user_id", "seq", F.lit("out").alias("side"), "put_us", "get_us"))
 
 

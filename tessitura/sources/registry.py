@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.session import table
+from tessitura.session import parallelism, table
 
 _DATASETS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,7 +34,9 @@ def get_dataset(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def recordings(spark: SparkSession, folder: str) -> DataFrame:
     """Ground truths: one row for each recording that has one (repeated rows fall together)."""
     df = table(spark, folder, "recording").filter("transcription is not null and rec_id is not null")
-    return df.select("rec_id", "dataset_name", "split_name", "sample_idx", "lang", F.col("transcription").alias("text")).distinct()
+    df = df.select("rec_id", "dataset_name", "split_name", "sample_idx", "lang", F.col("transcription").alias("text")).distinct()
+    # Texts are small and aligning them is not: as many tasks as the session has partitions, whatever the bytes.
+    return df.repartition(parallelism(spark), "rec_id")
 
 
 @register_dataset("documents")

@@ -44,7 +44,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), f"tessitura-{os.getuid()}"))
         root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    # The folder goes when the session's JVM ends.
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/table"
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions.multivariant import parse_multivariant
-from tessitura.functions.tokenize import tokenize
+from tessitura.functions.tokenize import pattern, tokenize
 from tessitura.operators.windows import running
-from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
+from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, quoted, sql_tokens, truth
 from tessitura.session import shared_folder, table
 from tessitura.sources.registry import pcm16, pending, read_predictions, srt_block, write_predictions
 
@@ -168,7 +168,10 @@ def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return cut.groupBy("rec_id", "value").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(f"""with {SQL_TRUTH}, p as (select rec_id, regexp_extract_all(translate(lower(text), 'ёЁ', 'еЕ'), '\\{{[^{{}}]*\\}}|' || {quoted(pattern())}) as parts from truth),
+e as (select rec_id, list_transform(parts, lambda x: case when x[1] = '{{' then '{{' || array_to_string(list_transform(string_split(x[2:-2], '|'), lambda o: array_to_string(regexp_extract_all(o, {quoted(pattern())}), ' ')), '|')
+  || (case when contains(x, '|') then '' else '|' end) || '}}' else x end) as parts from p)
+select rec_id, array_to_string(parts, ' ') as text from e""")
 def mv_render(spark: SparkSession, sf: str) -> DataFrame:
     """Truths written again from their blocks: variants as {a|b}, everything else normalised."""
     t = truth(spark, sf).select("rec_id", parse_multivariant("text").alias("p")).filter("p.error is null")

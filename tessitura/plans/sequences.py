@@ -153,9 +153,13 @@ def context_history(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("rec_id", "seg_id", F.array_join(last, " ").alias("history"))
 
 
-@query(None)
+@query("""with f as (select label, row_number() over (partition by label order by vec_id) - 1 as t, list_position(embedding[1:8], list_max(embedding[1:8])) - 1 as sym
+  from embeddings where embedding is not null and label is not null),
+g as (select *, sum((p is null or p <> sym)::int) over (partition by label order by t) as g from (select *, lag(sym) over (partition by label order by t) as p from f)),
+r as (select label, g, sym, min(t) as a, max(t) + 1 as b from g where sym <> 0 group by 1, 2, 3)
+select label, cast(row_number() over (partition by label order by a) - 1 as integer) as token, cast(sym as integer) as sym, cast(a as integer) as first, cast(b as integer) as last from r""")
 def forced_align(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans of each recording's collapsed symbols in its frames, by the most probable path."""
+    """Spans of each recording's collapsed symbols in its frames, by the most probable path: with these tokens, the greedy path's runs."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
@@ -195,9 +199,11 @@ def _timed_truth(spark, sf):
     return truth(spark, sf).join(_lengths(spark, sf), "rec_id").select("rec_id", _filled("text", F.col("ms") / 1000, F.col("ms") / 2000).alias("x"))
 
 
-@query(None)
+@query(f"""with {SQL_TRUTH}, {_LEN}, w as (select rec_id, len(list_filter({sql_tokens('text')}, lambda x: x <> '|')) as words, ms from truth join rec using (rec_id))
+select rec_id, words, case when words > 0 then 0.0 end as start_time, case when words > 0 then round(ms / 1000, 6) end as end_time from w""")
 def fill_timings(spark: SparkSession, sf: str) -> DataFrame:
-    return _timed_truth(spark, sf).select("rec_id", "x.words", "x.start_time", "x.end_time", "x.error")
+    """How many words got times, from the first to the last: all words of all options, over the whole recording."""
+    return _timed_truth(spark, sf).select("rec_id", F.col("x.words").cast("bigint").alias("words"), F.round("x.start_time", 6).alias("start_time"), F.round("x.end_time", 6).alias("end_time"))
 
 
 @query(None)

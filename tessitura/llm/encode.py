@@ -11,6 +11,7 @@ which all neighbours do is the encoding of its text.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -155,11 +156,12 @@ def _unsplit(text: str, leaf: int, word: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def _ids_array(rows: list) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter((i for r in rows for i in r), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+def _ids_array(rows: Iterable[list[int]]) -> pa.Array:
+    """One list column; each row's ids become four bytes each before the next row is made."""
+    packed = [np.array(r, np.int32) for r in rows]
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *packed])))
 
 
 def encode_corpus(df: DataFrame, ident: str = "doc_id", text: str = "text", path: str | None = None, long: int = LONG, leaf: int = LEAF, word: int = WORD) -> DataFrame:
@@ -173,7 +175,7 @@ def encode_corpus(df: DataFrame, ident: str = "doc_id", text: str = "text", path
     @F.arrow_udf(IDS)
     def encode(t: pa.Array) -> pa.Array:
         e = encoder(path)
-        return _ids_array([e.text(x) if x else [] for x in t.to_pylist()])
+        return _ids_array(e.text(x) if x else [] for x in (s.as_py() for s in t))
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("b", T.BinaryType())])))
     def cut(t: pd.Series) -> pd.Series:
@@ -182,12 +184,12 @@ def encode_corpus(df: DataFrame, ident: str = "doc_id", text: str = "text", path
     @F.arrow_udf(IDS)
     def encode_leaf(part: pa.Array, b: pa.Array) -> pa.Array:
         e = encoder(path)
-        return _ids_array([e.piece(x) if p else e.text(x.decode()) for p, x in zip(part.to_pylist(), b.to_pylist())])
+        return _ids_array(e.piece(x) if p else e.text(x.decode()) for p, x in zip(part.to_pylist(), (s.as_py() for s in b)))
 
     @F.arrow_udf(IDS)
     def concatenate(rows: pa.Array) -> pa.Array:
         e = encoder(path)
-        return _ids_array([glued(e, [(x["part"], x["ids"]) for x in row]) for row in rows.to_pylist()])
+        return _ids_array(glued(e, [(x["part"], x["ids"]) for x in row.as_py()]) for row in rows)
 
     rows = df.select(F.col(ident).alias("i"), F.col(text).alias("t"))
     short = at_least_parallel(rows).filter(F.coalesce(F.length("t"), F.lit(0)) <= long).select("i", encode("t").alias("ids"))

@@ -119,7 +119,7 @@ class Grammar:
 def fresh_words(before: str, text: str) -> str:
     """text without the words that repeat the end of what came before (rolling captions): the longest suffix of one that is a prefix of the other.
 
-    One repeated word alone is no roll unless it is the whole text of more than one word's caption; linear, by the prefix function.
+    One repeated word alone is no roll ("Yes." after "Yes." was said twice); linear, by the prefix function.
     """
     a, b = before.split(), text.split()
     if len(b) < 2:

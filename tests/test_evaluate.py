@@ -70,3 +70,13 @@ def test_corrector_and_pieces(spark, samples):
     assert [r.t for r in df.collect()] == ["A", None]
     p = longform_pieces(samples, 2_000, 500).orderBy("sample_idx", "piece").collect()
     assert [(r.sample_idx, r.start_ms, r.end_ms, len(r.audio["array"])) for r in p] == [(0, 0, 2000, 20), (0, 500, 2500, 20), (0, 1000, 3000, 20), (1, 0, 2000, 20)]
+
+
+def test_table_functions(spark):
+    from tessitura.functions.udtf import register_table_functions
+
+    register_table_functions(spark)
+    got = [tuple(r) for r in spark.sql("select c.start_ms, c.end_ms from values (41L), (10L), (null) as t(n), lateral chunk_audio(n, 30L, 5L) c order by n, c.piece").collect()]
+    assert got == [(0, 10), (0, 30), (5, 35), (10, 40), (11, 41)]
+    got = [tuple(r) for r in spark.sql("select block, option, value from truth_tokens('a {b c|<*>}') order by uid").collect()]
+    assert got == [(0, 0, "a"), (1, 0, "b"), (1, 0, "c"), (1, 1, "<*>")]

@@ -201,6 +201,10 @@ def aligned(truth: pd.Series, pred: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align_texts(a, b) for a, b in zip(truth, pred)], columns=_FIELDS)
 
 
+# Declared so that a filter on its result (readable truths) is not moved below it, which would make it run twice.
+aligned = aligned.asNondeterministic()
+
+
 def edit_errors(truth: list[str], pred: list[str]) -> int:
     """Fewest word errors between two lists of words, a column of the table at a time as bits of one number."""
     m = len(truth)

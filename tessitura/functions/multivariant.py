@@ -92,6 +92,10 @@ def parse_multivariant(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"blocks": blocks, "error": errors})
 
 
+# Declared so that a filter on the error does not make it run twice.
+parse_multivariant = parse_multivariant.asNondeterministic()
+
+
 def render(blocks: list[dict]) -> str:
     """Text of blocks: tokens joined by spaces, variants as {a|b}."""
     join = lambda option: " ".join(t["value"] for t in option)

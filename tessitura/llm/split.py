@@ -125,7 +125,7 @@ def split_recordings(recording: DataFrame, timed_text: DataFrame, limit_s: float
     recs = recs.filter(f"rec_id is not null and rate > 0 and n_samples > rate * {limit_s}")
     recs = recs.groupBy("rec_id").agg(F.max(F.struct("n_samples", "rate")).alias("r")).select("rec_id", "r.*")
     both = recs.join(boundaries(timed_text), "rec_id", "left")
-    return both.select("rec_id", "n_samples", "rate", split("n_samples", "rate", "cov", "points").alias("x")).select("rec_id", "n_samples", "rate", "x.*")
+    return both.select("rec_id", "n_samples", "rate", split.asNondeterministic()("n_samples", "rate", "cov", "points").alias("x")).select("rec_id", "n_samples", "rate", "x.*")
 
 
 def audio_pieces(recording: DataFrame, timed_text: DataFrame, limit_s: float = LIMIT_S, overlap_s: float = OVERLAP_S) -> DataFrame:

@@ -159,7 +159,7 @@ def spoken_texts(timed_text: DataFrame, aliases: dict[str, int]) -> DataFrame:
         return pd.DataFrame({"speaker": pd.array([p.speaker for p in got], "Int32"), "text": [p.text for p in got], "spoken": [p.spoken for p in got]})
 
     rows = timed_text.filter("rec_id is not null and seg_id is not null and text is not null").select("rec_id", "seg_id", "start_time", "end_time", "text")
-    rows = at_least_parallel(rows).select("rec_id", "seg_id", "start_time", "end_time", parse("text").alias("p"))
+    rows = at_least_parallel(rows).select("rec_id", "seg_id", "start_time", "end_time", parse.asNondeterministic()("text").alias("p"))
     return rows.filter("p.spoken").select("rec_id", "seg_id", "start_time", "end_time", F.col("p.speaker").alias("label"), F.col("p.text").alias("clean"))
 
 

@@ -239,8 +239,11 @@ def _share(text: pd.Series) -> pd.Series:
 
 
 def stuffing(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ident, share): the share of each page that is stuffing. A page is read whole and alone, so no shuffle is needed."""
-    return at_least_parallel(df.select(F.col(ident).alias("__i"), F.col(text).alias("__t"))).select(F.col("__i").alias(ident), _share("__t").alias("share"))
+    """(ident, share): the share of each page that is stuffing. A page is read whole and alone, so no shuffle is needed.
+
+    The function is declared nondeterministic so that a later filter neither makes it run twice nor moves it to fewer tasks.
+    """
+    return at_least_parallel(df.select(F.col(ident).alias("__i"), F.col(text).alias("__t"))).select(F.col("__i").alias(ident), _share.asNondeterministic()("__t").alias("share"))
 
 
 def stuffed_pages(df: DataFrame, ident: str = "doc_id", text: str = "text", over: float = 0.5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.alignment import aligned, capped_errors, word_errors
 from tessitura.operators.windows import previous
-from tessitura.plans.common import SQL_ERRORS, SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
+from tessitura.plans.common import PIPELINES, SQL_ERRORS, SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
 from tessitura.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -163,7 +163,6 @@ def align_buckets(spark: SparkSession, sf: str) -> DataFrame:
 def multi_alignment_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """Truth and hypotheses side by side, a row for each slot of each recording in which anything stands; errors in capitals."""
     b = buckets(kernel(spark, sf)).withColumn("cell", F.when(F.col("has_error"), F.upper("words")).otherwise(F.col("words")))
-    cells = b.groupBy("rec_id", "slot").pivot("pipeline", ["drop7", "dup9", "swap5"]).agg(F.first("cell"))
-    true = b.groupBy("rec_id", "slot").agg(F.max("true").alias("truth"))
-    return true.join(cells, ["rec_id", "slot"]).filter("truth is not null or drop7 != '' or dup9 != '' or swap5 != ''")
+    side = [F.max(F.when(F.col("pipeline") == p, F.col("cell"))).alias(p) for p in PIPELINES]
+    return b.groupBy("rec_id", "slot").agg(F.max("true").alias("truth"), *side).filter("truth is not null or drop7 != '' or dup9 != '' or swap5 != ''")
 

@@ -13,7 +13,7 @@ from tessitura.operators.windows import previous, running
 from tessitura.plans.aggregates import _TEXTS, WEEK_US, _chunks
 from tessitura.plans.common import truth
 from tessitura.plans.joins import _OUT, _out
-from tessitura.session import table
+from tessitura.session import parallelism, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -133,7 +133,7 @@ def _spoken(spark, sf):
 @query(None)
 def partial_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """What was known at each tick against what had been said by then: word errors and length, for timed truths."""
-    j = _known(spark, sf).join(_spoken(spark, sf), "rec_id")
+    j = _known(spark, sf).join(_spoken(spark, sf), "rec_id").repartition(parallelism(spark), "rec_id", "tick")
     said = F.array_join(F.transform(F.filter("words", lambda w: w["start_time"] < F.col("tick") * 5.0), lambda w: w["w"]), " ")
     a = j.select("rec_id", "tick", aligned(said, tokenize(F.col("text"))).alias("a"))
     return a.select("rec_id", "tick", "a.n_word_errors", "a.true_len", "a.n_correct")
@@ -144,7 +144,7 @@ def error_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Where the errors of each final text lie in time, and how long before the end."""
     known = _known(spark, sf)
     final = known.groupBy("rec_id").agg(F.max(F.struct("tick", "text")).alias("k")).select("rec_id", "k.*")
-    j = final.join(_spoken(spark, sf), "rec_id")
+    j = final.join(_spoken(spark, sf), "rec_id").repartition(parallelism(spark), "rec_id")
     a = j.select("rec_id", "tick", "words", aligned(F.array_join(F.transform("words", lambda w: w["w"]), " "), tokenize(F.col("text"))).alias("a"))
     m = a.select("rec_id", "tick", "words", F.posexplode("a.matches").alias("i", "m"))
     word = F.get("words", F.col("m.true_uid"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessitura.functions.alignment import aligned
+from tessitura.functions.alignment import ALIGNED, align
+from tessitura.functions.multivariant import MultivariantError, parse, starting_part
 from tessitura.functions.tokenize import tokenize
 from tessitura.operators.asof import micros
 from tessitura.operators.replay import error_positions as positions, known_at, rechunk as cut_anew, remap_times, send_cutoffs
@@ -112,10 +115,10 @@ f as (select rec_id, k, min(seq) as first from c group by 1, 2),
 known as (select v.rec_id, v.tick, string_agg(v.text, ' ' order by f.first) as text from v join f using (rec_id, k) group by 1, 2)"""
 
 
-def _known(spark, sf):
-    """What was known of each recording that has a truth, every five seconds."""
+def _known(spark, sf, step_us=5_000_000):
+    """What was known of each recording that has a truth, every five seconds or at another step."""
     c = _chunks(spark, sf).join(truth(spark, sf).select("rec_id").distinct(), "rec_id", "left_semi")
-    return known_at(c.select("rec_id", "seq", F.col("k").alias("key"), "text", micros("put_ts").alias("put_us")).filter("put_us is not null"), ["rec_id"], 5_000_000)
+    return known_at(c.select("rec_id", "seq", F.col("k").alias("key"), "text", micros("put_ts").alias("put_us")).filter("put_us is not null"), ["rec_id"], step_us)
 
 
 @query(f"with {_KNOWN} select rec_id, tick, text from known")
@@ -123,30 +126,104 @@ def known_texts(spark: SparkSession, sf: str) -> DataFrame:
     return _known(spark, sf)
 
 
+#: Seconds between two partial alignments.
+STEP = 0.25
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start_time", T.DoubleType()), T.StructField("end_time", T.DoubleType())])))
+def _times(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Times of a truth's words, all options included, in the order of their numbers; null for an unreadable truth.
+
+    spans: start_pos, end_pos, start_time, end_time of the timed pieces of the text. Words of one piece share its time evenly; a
+    word without a piece lies at the end of the word before it.
+    """
+    out = []
+    for t, pieces in zip(text, spans):
+        try:
+            words = [(w["start_pos"], w["end_pos"]) for b in parse(t) for o in b["options"] for w in o]
+        except MultivariantError:
+            out.append(None)
+            continue
+        pieces = sorted((p["start_pos"], p["end_pos"], p["start_time"], p["end_time"]) for p in pieces)
+        held, k = [], 0
+        for a, b in words:
+            while k < len(pieces) and pieces[k][1] <= a:
+                k += 1
+            held.append(k if k < len(pieces) and pieces[k][0] < b else None)
+        times, end = [], 0.0
+        for i, k in enumerate(held):
+            if k is None:
+                times.append((end, end))
+                continue
+            n, at, (_, _, s, e) = held.count(k), i - held.index(k), pieces[k]
+            times.append((s + (e - s) * at / n, e if at + 1 == n else s + (e - s) * (at + 1) / n))
+            end = times[-1][1]
+        out.append([{"start_time": s, "end_time": e} for s, e in times])
+    return pd.Series(out)
+
+
+_FIELDS = [f.name for f in ALIGNED.fields]
+_COUNTS = [f.name for f in ALIGNED.fields[:4]]
+
+
+def _align_said(fields: list[str], text: pd.Series, times: pd.Series, at: pd.Series, pred: pd.Series) -> pd.DataFrame:
+    """Alignments of hypotheses' words with what of timed truths was said by a time, in the fields asked for."""
+    rows = []
+    for t, spans, x, p in zip(text, times, at, pred):
+        if spans is None:
+            rows.append([None] * len(fields))
+            continue
+        blocks = parse(t)
+        for w in (w for b in blocks for o in b["options"] for w in o):
+            w |= spans[w["uid"]]
+        a = align(starting_part(blocks, x), list(p))
+        rows.append([a.get(f) for f in fields])
+    return pd.DataFrame(rows, columns=fields)
+
+
+@F.pandas_udf(ALIGNED)
+def _said(text: pd.Series, times: pd.Series, at: pd.Series, pred: pd.Series) -> pd.DataFrame:
+    return _align_said(_FIELDS, text, times, at, pred)
+
+
+@F.pandas_udf(T.StructType(ALIGNED.fields[:4]))
+def _said_counts(text: pd.Series, times: pd.Series, at: pd.Series, pred: pd.Series) -> pd.DataFrame:
+    """Without the matches, which for many ticks are more than a worker's memory."""
+    return _align_said(_COUNTS, text, times, at, pred).astype("Int32")
+
+
 def _spoken(spark, sf):
-    """Timed words of each truth as one array, in order."""
-    t = table(spark, sf, "transcript_token").select("rec_id", "token_id", "value", "start_time", "end_time").distinct().filter("rec_id is not null and value is not null and start_time is not null and end_time is not null")
-    t = t.withColumn("w", F.get(tokenize(F.col("value")), F.lit(0))).filter("w is not null and w != '<*>'")
-    return t.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("start_time", "token_id", "end_time", "w"))).alias("words"))
+    """rec_id, truth, times: truths with the times of all their words, variants and wildcards included, for timed recordings."""
+    t = table(spark, sf, "transcript_token").filter("rec_id is not null and start_pos is not null and end_pos is not null and start_time is not null and end_time is not null")
+    t = t.select("rec_id", "start_pos", "end_pos", "start_time", "end_time").groupBy("rec_id").agg(F.collect_set(F.struct("start_pos", "end_pos", "start_time", "end_time")).alias("spans"))
+    r = truth(spark, sf).select("rec_id", F.col("text").alias("truth")).distinct().join(t, "rec_id")
+    return r.select("rec_id", "truth", _times("truth", "spans").alias("times"))
 
 
 @query(None)
 def partial_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """What was known at each tick against what had been said by then: word errors and length, for timed truths."""
-    j = _known(spark, sf).join(_spoken(spark, sf), "rec_id").repartition(parallelism(spark), "rec_id", "tick")
-    said = F.array_join(F.transform(F.filter("words", lambda w: w["start_time"] < F.col("tick") * 5.0), lambda w: w["w"]), " ")
-    a = j.select("rec_id", "tick", aligned(said, tokenize(F.col("text"))).alias("a"))
-    return a.select("rec_id", "tick", "a.n_word_errors", "a.true_len", "a.n_correct")
+    """What was known at each tick of 0.25 s against the part of the truth that had been said by then: word errors and length, for timed truths.
+
+    Ticks between which no word began or ended and no text changed have one alignment, which is made once.
+    """
+    at = F.col("tick") * STEP
+    passed = lambda before: F.size(F.filter("times", before))
+    j = _known(spark, sf, int(STEP * 1e6)).join(_spoken(spark, sf), "rec_id")
+    j = j.withColumns({"begun": passed(lambda w: w["start_time"] < at), "ended": passed(lambda w: w["end_time"] <= at)})
+    j = j.groupBy("rec_id", "truth", "text", "begun", "ended").agg(F.collect_list("tick").alias("ticks"), F.min("tick").alias("tick"))
+    j = j.join(_spoken(spark, sf), ["rec_id", "truth"]).repartition(parallelism(spark), "rec_id", "tick")
+    a = j.select("rec_id", "ticks", _said_counts("truth", "times", at, tokenize(F.col("text"))).alias("a"))
+    return a.select("rec_id", F.explode("ticks").alias("tick"), "a.n_word_errors", "a.true_len", "a.n_correct")
 
 
 @query(None)
 def error_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Where the errors of each final text lie in time, and how long before the end."""
-    known = _known(spark, sf)
+    known = _known(spark, sf, int(STEP * 1e6))
     final = known.groupBy("rec_id").agg(F.max(F.struct("tick", "text")).alias("k")).select("rec_id", "k.*")
     j = final.join(_spoken(spark, sf), "rec_id").repartition(parallelism(spark), "rec_id")
-    a = j.select("rec_id", "tick", "words", aligned(F.array_join(F.transform("words", lambda w: w["w"]), " "), tokenize(F.col("text"))).alias("a"))
-    m = a.select("rec_id", "tick", "words", F.posexplode("a.matches").alias("i", "m"))
-    word = F.get("words", F.col("m.true_uid"))
+    a = j.select("rec_id", "tick", "times", _said("truth", "times", F.col("tick") * STEP, tokenize(F.col("text"))).alias("a"))
+    m = a.select("rec_id", "tick", "times", F.posexplode("a.matches").alias("i", "m"))
+    word = F.get("times", F.col("m.true_uid"))
     m = m.select("rec_id", "tick", "i", F.col("m.status").alias("status"), word["start_time"].alias("s"), word["end_time"].alias("e"))
-    return positions(m, ["rec_id"], F.col("tick") * 5.0).select("rec_id", "i", "status", "start_time", "end_time", "time_delta")
+    return positions(m, ["rec_id"], F.col("tick") * STEP).select("rec_id", "i", "status", "start_time", "end_time", "time_delta")

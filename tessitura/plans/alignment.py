@@ -113,7 +113,7 @@ select token_id, levenshtein(value, nxt) as d from w where regexp_full_match(val
 def char_distance(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "transcript_token").select("rec_id", "token_id", "value").distinct().withColumn("back", -F.col("token_id"))
     t = previous(t, ["rec_id"], ["back"], F.floor(F.col("back") / 10_000), {"nxt": "value"})
-    return t.filter(F.col("value").rlike("^[ -~]+$") & F.col("nxt").rlike("^[ -~]+$")).select("token_id", F.levenshtein("value", "nxt").cast("bigint").alias("d"))
+    return t.filter("value is not null and nxt is not null").select("token_id", F.levenshtein("value", "nxt").cast("bigint").alias("d"))
 
 
 @query(None)

@@ -159,19 +159,28 @@ g as (select *, sum((p is null or p <> sym)::int) over (partition by label order
 r as (select label, g, sym, min(t) as a, max(t) + 1 as b from g where sym <> 0 group by 1, 2, 3)
 select label, cast(row_number() over (partition by label order by a) - 1 as integer) as token, cast(sym as integer) as sym, cast(a as integer) as first, cast(b as integer) as last from r""")
 def forced_align(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans of each recording's collapsed symbols in its frames, by the most probable path: with these tokens, the greedy path's runs."""
+    """Frames of each word of a given transcript, by the most probable path through its classes; null where there are too few frames.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)[:, :8]
+    The transcripts come from elsewhere: labels and truths are paired in the order of their numbers, words are classes 1 to 63 by a hash.
+    """
+    schema = "label int, token int, sym int, first int, last int"
+
+    def run(frames: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
+        if frames.empty or text.empty:
+            return pd.DataFrame(columns=["label", "token", "sym", "first", "last"])
+        x = np.stack(frames.sort_values("vec_id")["embedding"].to_numpy()).astype(np.float64)
         logp = x - np.log(np.exp(x).sum(1, keepdims=True))
-        best = logp.argmax(1)
-        tokens = [int(b) for i, b in enumerate(best) if b and (i == 0 or b != best[i - 1])]
-        rows = forced_alignment(logp, tokens, 0)
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "token": [k for k, _, _ in rows], "sym": [tokens[k] for k, _, _ in rows], "first": [a for _, a, _ in rows], "last": [b for _, _, b in rows]})
+        tokens = [int(c) for c in text["tokens"].iloc[0]]
+        try:
+            rows = forced_alignment(logp, tokens, 0)
+        except ValueError:
+            rows = [(k, None, None) for k in range(len(tokens))]
+        return pd.DataFrame({"label": frames["label"].iloc[0], "token": [k for k, _, _ in rows], "sym": [tokens[k] for k, _, _ in rows], "first": [a for _, a, _ in rows], "last": [b for _, _, b in rows]}).astype({"first": "Int32", "last": "Int32"})
 
     e = table(spark, sf, "embeddings").filter("embedding is not null and label is not null").select("label", "vec_id", "embedding")
-    return e.groupBy("label").applyInPandas(run, "label int, token int, sym int, first int, last int")
+    t = truth(spark, sf).groupBy("rec_id").agg(F.min("text").alias("text")).select(F.row_number().over(W.orderBy("rec_id")).alias("place"), F.transform(tokenize(F.col("text")), lambda w: (1 + F.crc32(w.cast("binary")) % 63).cast("int")).alias("tokens"))
+    t = e.select("label").distinct().withColumn("place", F.row_number().over(W.orderBy("label"))).join(t, "place").select(F.col("label").alias("of"), "tokens")
+    return e.groupBy("label").cogroup(t.groupBy("of")).applyInPandas(run, schema)
 
 
 _TIMED = T.StructType([T.StructField("words", T.IntegerType()), T.StructField("start_time", T.DoubleType()), T.StructField("end_time", T.DoubleType()), T.StructField("cut", T.StringType()), T.StructField("error", T.StringType())])

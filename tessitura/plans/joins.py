@@ -165,12 +165,17 @@ said as (select w from spoken where regexp_full_match(w, '[a-z]{{4,}}')),
 dict as (select distinct lower(unnest(regexp_extract_all(p_name, '[A-Za-z]{{4,}}'))) as d from part)"""
 
 
+def said_and_dictionary(spark, sf):
+    """All words of the truths and all words of the dictionary, each once; signs, blocks' bars and wildcards are no words."""
+    words = lambda df, text, name: df.select(F.explode(tokenize(F.col(text))).alias(name)).filter(F.col(name).rlike(r"[\p{L}\p{N}]")).distinct()
+    return words(truth(spark, sf), "text", "w"), words(table(spark, sf, "part"), "p_name", "d")
+
+
 @query(f"""with {_WORDS} select w, d, levenshtein(w, d) as dist from said, dict where abs(length(w) - length(d)) <= 2 and levenshtein(w, d) <= 2""")
 def fuzzy_dict_match(spark: SparkSession, sf: str) -> DataFrame:
     """Spoken words and dictionary words at most two edits apart, by deletion neighbourhoods: an equality join, not all pairs."""
-    said = truth(spark, sf).select(F.explode(tokenize(F.col("text"))).alias("w")).filter("w rlike '^[a-z]{4,}$'").distinct()
-    names = table(spark, sf, "part").select(F.explode(F.regexp_extract_all("p_name", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("d"))
-    return edit_neighbours(said, names.select(F.lower("d").alias("d")).distinct(), "w", "d", 2).select("w", "d", F.col("dist").cast("bigint").alias("dist"))
+    said, d = said_and_dictionary(spark, sf)
+    return edit_neighbours(said, d, "w", "d", 2).select("w", "d", F.col("dist").cast("bigint").alias("dist"))
 
 
 _UNIT = "unit as (select vec_id, label, embedding as v, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))) as norm from embeddings)"

@@ -16,7 +16,7 @@ from tessitura.operators.fuzzy import edit_neighbours
 from tessitura.operators.intervals import to_ms
 from tessitura.operators.windows import previous, running, trailing
 from tessitura.plans.common import SQL_TRUTH, sql_tokens, truth
-from tessitura.plans.joins import _WORDS
+from tessitura.plans.joins import _WORDS, said_and_dictionary
 from tessitura.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -264,8 +264,7 @@ best as (select w, min(dist) as dist from near group by 1)
 select near.w, min(d) as correction, near.dist from near join best on near.w = best.w and near.dist = best.dist where near.dist > 0 group by 1, 3 having count(*) = 1""")
 def fuzzy_correct(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the recordings corrected to the one nearest dictionary word within the edits their length allows."""
-    said = truth(spark, sf).select(F.explode(tokenize(F.col("text"))).alias("w")).filter("w rlike '^[a-z]{4,}$'").distinct()
-    d = table(spark, sf, "part").select(F.explode(F.regexp_extract_all("p_name", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("d")).select(F.lower("d").alias("d")).distinct()
+    said, d = said_and_dictionary(spark, sf)
     limit = F.get(F.array(*map(F.lit, EDITS)), F.least(F.length("w"), F.lit(9)))
     near = edit_neighbours(said, d, "w", "d", 3).filter(F.col("dist") <= limit)
     best = near.groupBy("w").agg(F.min(F.struct("dist", "d")).alias("m"), F.collect_list("dist").alias("all"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.alignment import aligned, capped_errors, word_errors
 from tessitura.operators.windows import previous
-from tessitura.plans.common import PIPELINES, SQL_ERRORS, SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
+from tessitura.plans.common import PIPELINES, SQL_ERRORS, SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens
 from tessitura.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -42,7 +42,7 @@ def kernel(spark: SparkSession, sf: str) -> DataFrame:
     return p.filter("a.error is null")
 
 
-#: Truths without variants and wildcards, on which kernel and SQL must agree.
+#: Truths without variants and wildcards, which the SQL of align_matches takes.
 PLAIN = "text not like '%{%' and text not like '%<*>%'"
 
 
@@ -79,26 +79,23 @@ def common_samples_wer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {SQL_TRUTH} select rec_id, len(list_filter({sql_tokens('text')}, lambda x: x <> '<*>')) as n from truth where text not like '%{{%'")
 def true_len(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of a truth that count, as the kernel counts them for one pipeline, for truths without variants."""
-    k = kernel(spark, sf).filter("pipeline = 'drop7'").select("rec_id", F.col("a.true_len").cast("bigint").alias("n"))
-    return k.join(truth(spark, sf).filter("text not like '%{%'").select("rec_id"), "rec_id", "left_semi")
+    """Words of a truth that count, as the kernel counts them for one pipeline: those of the options it took."""
+    return kernel(spark, sf).filter("pipeline = 'drop7'").select("rec_id", F.col("a.true_len").cast("bigint").alias("n"))
 
 
 @query(f"with {SQL_ERRORS} select rec_id, pipeline, cast(n_errors as integer) as n_word_errors from scored join (select rec_id, text from truth) using (rec_id) where {PLAIN}")
 def align_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Errors counted over the kernel's matches: for plain truths they are the edit distance."""
-    plain = truth(spark, sf).filter(PLAIN).select("rec_id")
+    """Errors counted over the kernel's matches: for truths without variants and wildcards they are the edit distance."""
     n = F.size(F.filter("a.matches", lambda m: m["status"] != "correct"))
-    return kernel(spark, sf).select("rec_id", "pipeline", n.alias("n_word_errors")).join(plain, "rec_id", "left_semi")
+    return kernel(spark, sf).select("rec_id", "pipeline", n.alias("n_word_errors"))
 
 
 @query(f"""with {SQL_PREDICTIONS} select rec_id, pipeline, array_to_string(t, ' ') as truth, array_to_string(h, ' ') as hyp from pred where text not like '%{{%'""")
 def align_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Both texts rebuilt from the kernel's matches; a wildcard stands once however much it took."""
-    plain = truth(spark, sf).filter("text not like '%{%'").select("rec_id")
+    """Both texts rebuilt from the kernel's matches; a wildcard stands once however much it took, and of a block the option taken."""
     side = lambda c: F.array_join(F.transform(F.filter("a.matches", lambda m: m[c].isNotNull()), lambda m: m[c]), " ")
     once = F.array_distinct(F.transform(F.filter("a.matches", lambda m: m["true_uid"].isNotNull()), lambda m: F.struct(m["true_uid"].alias("u"), m["true"].alias("w"))))
-    return kernel(spark, sf).join(plain, "rec_id", "left_semi").select("rec_id", "pipeline", F.array_join(F.transform(once, lambda x: x["w"]), " ").alias("truth"), side("pred").alias("hyp"))
+    return kernel(spark, sf).select("rec_id", "pipeline", F.array_join(F.transform(once, lambda x: x["w"]), " ").alias("truth"), side("pred").alias("hyp"))
 
 
 @query(None)

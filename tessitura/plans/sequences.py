@@ -275,9 +275,11 @@ def fuzzy_correct(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {SQL_TRUTH} select rec_id, regexp_replace(text, '(^|[^\\p{{L}}\\p{{N}}_])[0-9]+($|[^\\p{{L}}\\p{{N}}_])', '\\1#\\2', 'g') as text from truth where not regexp_matches(text, '[0-9]+[^\\p{{L}}\\p{{N}}_][0-9]+')")
 def apply_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers put by a sign, from right to left at the offsets of their tokens."""
-    t = truth(spark, sf).filter(~F.col("text").rlike(r"[0-9]+[^\p{L}\p{N}_][0-9]+")).select("rec_id", "text", parse_multivariant("text").alias("p")).filter("p.error is null")
+    t = truth(spark, sf).select("rec_id", "text", parse_multivariant("text").alias("p")).filter("p.error is null")
     tokens = F.flatten(F.flatten(F.transform("p.blocks", lambda b: b["options"])))
-    numbers = F.transform(F.filter(tokens, lambda k: k["value"].rlike("^[0-9]+$")), lambda k: F.struct(k["start_pos"].alias("start_pos"), k["end_pos"].alias("end_pos"), F.lit("#").alias("value")))
+    # Spellings that a written option only stands for are not in the text.
+    written = lambda k: F.substr(F.col("text"), k["start_pos"] + 1, k["end_pos"] - k["start_pos"]) == k["value"]
+    numbers = F.transform(F.filter(tokens, lambda k: k["value"].rlike("^[0-9]+$") & written(k)), lambda k: F.struct(k["start_pos"].alias("start_pos"), k["end_pos"].alias("end_pos"), F.lit("#").alias("value")))
     return t.select("rec_id", splice(F.col("text"), numbers).alias("text"))
 
 

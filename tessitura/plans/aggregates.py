@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.functions.alignment import aligned
 from tessitura.functions.tokenize import tokenize
 from tessitura.operators.asof import micros
 from tessitura.operators.intervals import to_ms
-from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
+from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, timed_truths, truth
 from tessitura.plans.joins import _OUT, _out
 from tessitura.operators.windows import previous, running, trailing
 from tessitura.session import table
@@ -186,19 +187,17 @@ _TIMED = "tok as (select rec_id, token_id, value, start_time, end_time from (sel
 TOKENS = 10_000
 
 
-def _timed(spark, sf):
-    return table(spark, sf, "transcript_token").select("rec_id", "token_id", "value", "start_time", "end_time").distinct().filter("start_time is not null and end_time is not null")
-
-
 @query(f"""with {_TIMED} select rec_id, token_id, coalesce(max(case when token_id % 4 <> 0 then end_time end) over (partition by rec_id order by token_id rows between unbounded preceding and 1 preceding), 0) as left_end,
 coalesce(min(case when token_id % 4 <> 0 then start_time end) over (partition by rec_id order by token_id rows between 1 following and unbounded following), 1000) as right_start from tok qualify token_id % 4 = 0""")
 def insertion_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Where an inserted word can lie: behind all words before it and before all behind (every fourth token taken for an insertion)."""
-    kept = F.col("token_id") % 4 != 0
-    t = _timed(spark, sf).withColumn("back", -F.col("token_id"))
-    t = running(t, ["rec_id"], ["token_id"], F.floor(F.col("token_id") / TOKENS), {"l": ("max", F.when(kept, F.col("end_time")))}, inclusive=False)
-    t = running(t, ["rec_id"], ["back"], F.floor(F.col("back") / TOKENS), {"r": ("min", F.when(kept, F.col("start_time")))}, inclusive=False)
-    return t.filter("token_id % 4 = 0").select("rec_id", "token_id", F.coalesce("l", F.lit(0.0)).alias("left_end"), F.coalesce("r", F.lit(1000.0)).alias("right_start"))
+    """Where each inserted word of an alignment can lie: behind all words of the truth before it and before all behind, for timed truths."""
+    p = predictions(spark, sf).join(timed_truths(spark, sf).withColumnRenamed("truth", "text"), ["rec_id", "text"])
+    m = p.select("rec_id", "pipeline", "times", aligned("text", "h").alias("a")).select("rec_id", "pipeline", "times", F.posexplode("a.matches").alias("i", "m"))
+    word, by = F.get("times", F.col("m.true_uid")), W.partitionBy("rec_id", "pipeline").orderBy("i")
+    left = F.max(word["end_time"]).over(by.rowsBetween(W.unboundedPreceding, -1))
+    right = F.min(word["start_time"]).over(by.rowsBetween(1, W.unboundedFollowing))
+    m = m.select("rec_id", "pipeline", F.col("m.pred_uid").alias("pred_uid"), F.col("m.status").alias("status"), F.coalesce(left, F.lit(0.0)).alias("left_end"), F.coalesce(right, F.lit(1000.0)).alias("right_start"))
+    return m.filter("status = 'insertion'").drop("status")
 
 
 @query("""with x as (select event_id, user_id, bool_and(event_type in ('view', 'click')) over (partition by user_id order by ts desc, event_id desc) as tail from events) select user_id, event_id from x where tail""")
@@ -212,11 +211,13 @@ def not_yet_tail(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""with {_TIMED}, n as (select *, lag(end_time) over (partition by rec_id order by token_id) as a, lead(start_time) over (partition by rec_id order by token_id) as b from tok)
 select token_id, coalesce(a, 0) as start_time, coalesce(b, 1000) as end_time from n where token_id % 7 = 0""")
 def anything_time_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Times of a wildcard from its neighbours (every seventh token taken for one)."""
-    t = _timed(spark, sf).withColumn("back", -F.col("token_id"))
-    t = previous(t, ["rec_id"], ["token_id"], F.floor(F.col("token_id") / TOKENS), {"a": "end_time"})
-    t = previous(t, ["rec_id"], ["back"], F.floor(F.col("back") / TOKENS), {"b": "start_time"})
-    return t.filter("token_id % 7 = 0").select("token_id", F.coalesce("a", F.lit(0.0)).alias("start_time"), F.coalesce("b", F.lit(1000.0)).alias("end_time"))
+    """Times of each wildcard from its neighbours; null where a neighbour has none."""
+    t = table(spark, sf, "transcript_token").select("rec_id", "token_id", "value", "start_time", "end_time").distinct().withColumn("back", -F.col("token_id"))
+    t = t.withColumns({"s": F.struct("start_time"), "e": F.struct("end_time")})
+    t = previous(t, ["rec_id"], ["token_id"], F.floor(F.col("token_id") / TOKENS), {"a": "e"})
+    t = previous(t, ["rec_id"], ["back"], F.floor(F.col("back") / TOKENS), {"b": "s"})
+    start, end = F.when(F.col("a").isNull(), 0.0).otherwise(F.col("a.end_time")), F.when(F.col("b").isNull(), 1000.0).otherwise(F.col("b.start_time"))
+    return t.filter("value = '<*>'").select("token_id", start.alias("start_time"), end.alias("end_time"))
 
 
 _TEXTS = """ch as (select rec_id, seq, uid, text, put_ts, coalesce(uid, '#' || cast(seq as varchar)) as k from output_chunk

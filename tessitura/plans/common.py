@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessitura.functions.multivariant import MultivariantError, parse
 from tessitura.functions.tokenize import pattern, tokenize
+from tessitura.session import table
 from tessitura.sources.registry import get_dataset
 
 #: The derived hypotheses; each damages every k-th word of the truth in its own way.
@@ -35,6 +39,46 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("*", F.explode(made).alias("p")).select("rec_id", "dataset_name", "sample_idx", "lang", "text", "t", "p.pipeline", "p.h")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start_time", T.DoubleType()), T.StructField("end_time", T.DoubleType())])))
+def _times(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Times of a truth's words, all options included, in the order of their numbers; null for an unreadable truth.
+
+    spans: start_pos, end_pos, start_time, end_time of the timed pieces of the text. Words of one piece share its time evenly; a
+    word without a piece lies at the end of the word before it.
+    """
+    out = []
+    for t, pieces in zip(text, spans):
+        try:
+            words = [(w["start_pos"], w["end_pos"]) for b in parse(t) for o in b["options"] for w in o]
+        except MultivariantError:
+            out.append(None)
+            continue
+        pieces = sorted((p["start_pos"], p["end_pos"], p["start_time"], p["end_time"]) for p in pieces)
+        held, k = [], 0
+        for a, b in words:
+            while k < len(pieces) and pieces[k][1] <= a:
+                k += 1
+            held.append(k if k < len(pieces) and pieces[k][0] < b else None)
+        times, end = [], 0.0
+        for i, k in enumerate(held):
+            if k is None:
+                times.append((end, end))
+                continue
+            n, at, (_, _, s, e) = held.count(k), i - held.index(k), pieces[k]
+            times.append((s + (e - s) * at / n, e if at + 1 == n else s + (e - s) * (at + 1) / n))
+            end = times[-1][1]
+        out.append([{"start_time": s, "end_time": e} for s, e in times])
+    return pd.Series(out)
+
+
+def timed_truths(spark: SparkSession, sf: str) -> DataFrame:
+    """rec_id, truth, times: truths with the times of all their words, variants and wildcards included, for timed recordings."""
+    t = table(spark, sf, "transcript_token").filter("rec_id is not null and start_pos is not null and end_pos is not null and start_time is not null and end_time is not null")
+    t = t.select("rec_id", "start_pos", "end_pos", "start_time", "end_time").groupBy("rec_id").agg(F.collect_set(F.struct("start_pos", "end_pos", "start_time", "end_time")).alias("spans"))
+    r = truth(spark, sf).select("rec_id", F.col("text").alias("truth")).distinct().join(t, "rec_id")
+    return r.select("rec_id", "truth", _times("truth", "spans").alias("times"))
+
+
 SQL_TRUTH = """truth as (
   select distinct rec_id, dataset_name, split_name, sample_idx, lang, transcription as text
   from recording where transcription is not null and rec_id is not null)"""

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessitura.functions.alignment import ALIGNED, align
-from tessitura.functions.multivariant import MultivariantError, parse, starting_part
+from tessitura.functions.multivariant import parse, starting_part
 from tessitura.functions.tokenize import tokenize
 from tessitura.operators.asof import micros
 from tessitura.operators.replay import error_positions as positions, known_at, rechunk as cut_anew, remap_times, send_cutoffs
 from tessitura.operators.windows import previous, running
 from tessitura.plans.aggregates import _TEXTS, WEEK_US, _chunks
-from tessitura.plans.common import truth
+from tessitura.plans.common import timed_truths, truth
 from tessitura.plans.joins import _OUT, _out
 from tessitura.session import parallelism, table
 
@@ -130,38 +130,6 @@ def known_texts(spark: SparkSession, sf: str) -> DataFrame:
 STEP = 0.25
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start_time", T.DoubleType()), T.StructField("end_time", T.DoubleType())])))
-def _times(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """Times of a truth's words, all options included, in the order of their numbers; null for an unreadable truth.
-
-    spans: start_pos, end_pos, start_time, end_time of the timed pieces of the text. Words of one piece share its time evenly; a
-    word without a piece lies at the end of the word before it.
-    """
-    out = []
-    for t, pieces in zip(text, spans):
-        try:
-            words = [(w["start_pos"], w["end_pos"]) for b in parse(t) for o in b["options"] for w in o]
-        except MultivariantError:
-            out.append(None)
-            continue
-        pieces = sorted((p["start_pos"], p["end_pos"], p["start_time"], p["end_time"]) for p in pieces)
-        held, k = [], 0
-        for a, b in words:
-            while k < len(pieces) and pieces[k][1] <= a:
-                k += 1
-            held.append(k if k < len(pieces) and pieces[k][0] < b else None)
-        times, end = [], 0.0
-        for i, k in enumerate(held):
-            if k is None:
-                times.append((end, end))
-                continue
-            n, at, (_, _, s, e) = held.count(k), i - held.index(k), pieces[k]
-            times.append((s + (e - s) * at / n, e if at + 1 == n else s + (e - s) * (at + 1) / n))
-            end = times[-1][1]
-        out.append([{"start_time": s, "end_time": e} for s, e in times])
-    return pd.Series(out)
-
-
 _FIELDS = [f.name for f in ALIGNED.fields]
 _COUNTS = [f.name for f in ALIGNED.fields[:4]]
 
@@ -192,14 +160,6 @@ def _said_counts(text: pd.Series, times: pd.Series, at: pd.Series, pred: pd.Seri
     return _align_said(_COUNTS, text, times, at, pred).astype("Int32")
 
 
-def _spoken(spark, sf):
-    """rec_id, truth, times: truths with the times of all their words, variants and wildcards included, for timed recordings."""
-    t = table(spark, sf, "transcript_token").filter("rec_id is not null and start_pos is not null and end_pos is not null and start_time is not null and end_time is not null")
-    t = t.select("rec_id", "start_pos", "end_pos", "start_time", "end_time").groupBy("rec_id").agg(F.collect_set(F.struct("start_pos", "end_pos", "start_time", "end_time")).alias("spans"))
-    r = truth(spark, sf).select("rec_id", F.col("text").alias("truth")).distinct().join(t, "rec_id")
-    return r.select("rec_id", "truth", _times("truth", "spans").alias("times"))
-
-
 @query(None)
 def partial_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """What was known at each tick of 0.25 s against the part of the truth that had been said by then: word errors and length, for timed truths.
@@ -208,10 +168,10 @@ def partial_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """
     at = F.col("tick") * STEP
     passed = lambda before: F.size(F.filter("times", before))
-    j = _known(spark, sf, int(STEP * 1e6)).join(_spoken(spark, sf), "rec_id")
+    j = _known(spark, sf, int(STEP * 1e6)).join(timed_truths(spark, sf), "rec_id")
     j = j.withColumns({"begun": passed(lambda w: w["start_time"] < at), "ended": passed(lambda w: w["end_time"] <= at)})
     j = j.groupBy("rec_id", "truth", "text", "begun", "ended").agg(F.collect_list("tick").alias("ticks"), F.min("tick").alias("tick"))
-    j = j.join(_spoken(spark, sf), ["rec_id", "truth"]).repartition(parallelism(spark), "rec_id", "tick")
+    j = j.join(timed_truths(spark, sf), ["rec_id", "truth"]).repartition(parallelism(spark), "rec_id", "tick")
     a = j.select("rec_id", "ticks", _said_counts("truth", "times", at, tokenize(F.col("text"))).alias("a"))
     return a.select("rec_id", F.explode("ticks").alias("tick"), "a.n_word_errors", "a.true_len", "a.n_correct")
 
@@ -221,7 +181,7 @@ def error_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Where the errors of each final text lie in time, and how long before the end."""
     known = _known(spark, sf, int(STEP * 1e6))
     final = known.groupBy("rec_id").agg(F.max(F.struct("tick", "text")).alias("k")).select("rec_id", "k.*")
-    j = final.join(_spoken(spark, sf), "rec_id").repartition(parallelism(spark), "rec_id")
+    j = final.join(timed_truths(spark, sf), "rec_id").repartition(parallelism(spark), "rec_id")
     a = j.select("rec_id", "tick", "times", _said("truth", "times", F.col("tick") * STEP, tokenize(F.col("text"))).alias("a"))
     m = a.select("rec_id", "tick", "times", F.posexplode("a.matches").alias("i", "m"))
     word = F.get("times", F.col("m.true_uid"))

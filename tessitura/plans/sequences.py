@@ -139,17 +139,20 @@ def longform_vad(spark: SparkSession, sf: str) -> DataFrame:
     return short.unionAll(_dia(spark, sf).filter("e > s").join(r.filter("ms >= 30000"), "rec_id").select("rec_id", "s", "e"))
 
 
+#: Words of context before a text.
+HISTORY = 100
+
 _SEGWORDS = f"""seg as (select distinct rec_id, seg_id, start_time, {sql_tokens('text')} as w from timed_text where text is not null and len({sql_tokens('text')}) > 0)"""
 
 
 @query(f"""with {_SEGWORDS}, h as (select rec_id, seg_id, flatten(list(w) over (partition by rec_id order by start_time, seg_id rows between 10 preceding and 1 preceding)) as h from seg)
 select rec_id, seg_id, array_to_string(coalesce(h[-10:], []), ' ') as history from h""")
 def context_history(spark: SparkSession, sf: str) -> DataFrame:
-    """The last ten words said before each text: every text has one at least, so ten rows before it are enough."""
+    """The last hundred words said before each text: every text has one at least, so a hundred rows before it are enough."""
     seg = table(spark, sf, "timed_text").filter("text is not null").select("rec_id", "seg_id", "start_time", tokenize(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()
     slot = F.floor(F.col("start_time") / 600)
-    h = trailing(seg, ["rec_id"], ["start_time", "seg_id"], slot, 10, lambda w: F.flatten(F.collect_list("w").over(w)), "h", own=False)
-    last = F.when(F.size("h") > 10, F.slice("h", -10, 10)).otherwise(F.col("h"))
+    h = trailing(seg, ["rec_id"], ["start_time", "seg_id"], slot, HISTORY, lambda w: F.flatten(F.collect_list("w").over(w)), "h", own=False)
+    last = F.when(F.size("h") > HISTORY, F.slice("h", -HISTORY, HISTORY)).otherwise(F.col("h"))
     return h.select("rec_id", "seg_id", F.array_join(last, " ").alias("history"))
 
 
@@ -249,9 +252,11 @@ def _merged(parts: pd.Series) -> pd.Series:
 
 @query(f"with {SQL_TRUTH} select rec_id, length(array_to_string(list_filter(regexp_split_to_array(text, '[.!?]+ +'), lambda x: x <> ''), ' ')) as chars from truth")
 def sentence_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences merged to at most 230 characters: the joined length is that of all sentences."""
-    parts = F.filter(F.split("text", "[.!?]+ +"), lambda x: x != "")
-    return truth(spark, sf).select("rec_id", F.length(F.array_join(_merged(parts), " ")).cast("bigint").alias("chars"))
+    """Sentences, those over 230 characters split by space first, merged to at most 230; a longer word stands alone. Their number of characters joined, and the parts."""
+    sentences = F.filter(F.split("text", "[.!?]+ +"), lambda x: x != "")
+    short = F.flatten(F.transform(sentences, lambda x: F.when(F.length(x) > 230, pack(x, 230)).otherwise(F.array(x))))
+    parts = truth(spark, sf).select("rec_id", _merged(short).alias("parts"))
+    return parts.select("rec_id", F.length(F.array_join("parts", " ")).cast("bigint").alias("chars"), "parts")
 
 
 #: Edits allowed by the length of a word; beyond the list it is the last.

@@ -180,15 +180,11 @@ def monotonic_violations(spark: SparkSession, sf: str) -> DataFrame:
     return previous(e, ["user_id"], ["ts", "event_id"], _slot("ts"), {"before": "value"}).filter("value < before").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-_TIMED = "tok as (select rec_id, token_id, value, start_time, end_time from (select distinct rec_id, token_id, value, start_time, end_time from transcript_token) where start_time is not null and end_time is not null)"
-
-
 #: Tokens of one slot.
 TOKENS = 10_000
 
 
-@query(f"""with {_TIMED} select rec_id, token_id, coalesce(max(case when token_id % 4 <> 0 then end_time end) over (partition by rec_id order by token_id rows between unbounded preceding and 1 preceding), 0) as left_end,
-coalesce(min(case when token_id % 4 <> 0 then start_time end) over (partition by rec_id order by token_id rows between 1 following and unbounded following), 1000) as right_start from tok qualify token_id % 4 = 0""")
+@query(None)
 def insertion_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Where each inserted word of an alignment can lie: behind all words of the truth before it and before all behind, for timed truths."""
     p = predictions(spark, sf).join(timed_truths(spark, sf).withColumnRenamed("truth", "text"), ["rec_id", "text"])
@@ -208,8 +204,9 @@ def not_yet_tail(spark: SparkSession, sf: str) -> DataFrame:
     return e.filter("tail = 1").select("user_id", "event_id")
 
 
-@query(f"""with {_TIMED}, n as (select *, lag(end_time) over (partition by rec_id order by token_id) as a, lead(start_time) over (partition by rec_id order by token_id) as b from tok)
-select token_id, coalesce(a, 0) as start_time, coalesce(b, 1000) as end_time from n where token_id % 7 = 0""")
+@query("""with tok as (select distinct rec_id, token_id, value, start_time, end_time from transcript_token),
+n as (select *, lag(token_id) over w as p, lag(end_time) over w as a, lead(token_id) over w as f, lead(start_time) over w as b from tok window w as (partition by rec_id order by token_id))
+select token_id, case when p is null then 0 else a end as start_time, case when f is null then 1000 else b end as end_time from n where value = '<*>'""")
 def anything_time_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Times of each wildcard from its neighbours; null where a neighbour has none."""
     t = table(spark, sf, "transcript_token").select("rec_id", "token_id", "value", "start_time", "end_time").distinct().withColumn("back", -F.col("token_id"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,13 +28,23 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
     return get_dataset("recordings")(spark, sf)
 
 
+#: What the derived hypotheses say in place of a wildcard.
+WILD_WORDS = " uh well "
+
+
+def spoken(text: Column) -> Column:
+    """Words of a truth as somebody may have said them: the first option of each block, and two words for each wildcard."""
+    first = F.regexp_replace(text, r"\{([^{}|]*)[^{}]*\}", "$1")
+    return tokenize(F.regexp_replace(first, r"<\*>", WILD_WORDS))
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """rec_id, dataset_name, sample_idx, lang, text, t, pipeline, h: truth and hypothesis words of each pipeline."""
-    t = truth(spark, sf).select("rec_id", "dataset_name", "sample_idx", "lang", "text", tokenize(F.col("text")).alias("t"))
+    """rec_id, dataset_name, sample_idx, lang, text, t, pipeline, h: truth, its words as written, and hypothesis words of each pipeline."""
+    t = truth(spark, sf).select("rec_id", "dataset_name", "sample_idx", "lang", "text", tokenize(F.col("text")).alias("t"), spoken(F.col("text")).alias("s"))
     made = F.array(
-        F.struct(F.lit("drop7").alias("pipeline"), F.filter("t", lambda x, i: (i + 1) % 7 != 0).alias("h")),
-        F.struct(F.lit("dup9").alias("pipeline"), F.flatten(F.transform("t", lambda x, i: F.when((i + 1) % 9 == 0, F.array(x, x)).otherwise(F.array(x)))).alias("h")),
-        F.struct(F.lit("swap5").alias("pipeline"), F.transform("t", lambda x, i: F.when((i + 1) % 5 == 0, F.concat(x, F.lit("x"))).otherwise(x)).alias("h")),
+        F.struct(F.lit("drop7").alias("pipeline"), F.filter("s", lambda x, i: (i + 1) % 7 != 0).alias("h")),
+        F.struct(F.lit("dup9").alias("pipeline"), F.flatten(F.transform("s", lambda x, i: F.when((i + 1) % 9 == 0, F.array(x, x)).otherwise(F.array(x)))).alias("h")),
+        F.struct(F.lit("swap5").alias("pipeline"), F.transform("s", lambda x, i: F.when((i + 1) % 5 == 0, F.concat(x, F.lit("x"))).otherwise(x)).alias("h")),
     )
     return t.select("*", F.explode(made).alias("p")).select("rec_id", "dataset_name", "sample_idx", "lang", "text", "t", "p.pipeline", "p.h")
 
@@ -84,19 +94,45 @@ SQL_TRUTH = """truth as (
   from recording where transcription is not null and rec_id is not null)"""
 
 SQL_PREDICTIONS = f"""{SQL_TRUTH},
-words as (select rec_id, dataset_name, sample_idx, lang, text, {sql_tokens("text")} as t from truth),
+words as (select rec_id, dataset_name, sample_idx, lang, text, {sql_tokens("text")} as t,
+  {sql_tokens(r"replace(regexp_replace(text, '\{([^{}|]*)[^{}]*\}', '\1', 'g'), '<*>', '" + WILD_WORDS + "')")} as s from truth),
 pred as (
-  select *, 'drop7' as pipeline, list_filter(t, lambda x, i: i % 7 <> 0) as h from words
-  union all select *, 'dup9', flatten(list_transform(t, lambda x, i: case when i % 9 = 0 then [x, x] else [x] end)) from words
-  union all select *, 'swap5', list_transform(t, lambda x, i: case when i % 5 = 0 then x || 'x' else x end) from words)"""
-
-#: Word errors of every prediction as a recursive query: the row of the edit table after i words of the hypothesis.
-SQL_ERRORS = SQL_PREDICTIONS + """,
+  select * exclude (s), 'drop7' as pipeline, list_filter(s, lambda x, i: i % 7 <> 0) as h from words
+  union all select * exclude (s), 'dup9', flatten(list_transform(s, lambda x, i: case when i % 9 = 0 then [x, x] else [x] end)) from words
+  union all select * exclude (s), 'swap5', list_transform(s, lambda x, i: case when i % 5 = 0 then x || 'x' else x end) from words)"""
+
+
+def sql_distance(a: str, b: str) -> str:
+    """Edit distance in characters: the engine's own counts bytes, so both are spelled in one-byte signs of the pair's own alphabet first."""
+    sign = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: chr(cast(33 + list_position(list_distinct(string_split({a} || {b}, '')), c) as integer))), '')"
+    return f"case when strlen({a} || {b}) = length({a} || {b}) then levenshtein({a}, {b}) else levenshtein({sign(a)}, {sign(b)}) end"
+
+
+#: The kernel's scores of every prediction as a recursive query, variants and wildcards included. Each choice of options gives one
+#: reading of the truth; r is the row of its edit table after i words of the hypothesis, in which one number holds (word errors,
+#: character errors, minus correct words) in this order; the cheapest reading counts, the first of equals.
+SQL_SCORES = "recursive " + SQL_PREDICTIONS + f""",
+cut as (select distinct rec_id, text, regexp_extract_all(text, '\\{{[^{{}}]*\\}}') as blocks, regexp_split_to_array(text, '\\{{[^{{}}]*\\}}') as parts,
+  regexp_replace(text, '\\{{[^{{}}]*\\}}', chr(1), 'g') as bare from truth),
+readable as (select * from cut where not regexp_matches(bare, '[{{}}]|[^\\s\\p{{Z}}]\\x01|\\x01[^\\s\\p{{Z}}]')),
+reading as (
+  select rec_id, text, blocks, parts, 0 as n, {sql_tokens("parts[1]")} as toks, cast([] as bigint[]) as choice from readable
+  union all
+  select rec_id, text, blocks, parts, n + 1, list_concat(list_concat(toks, {sql_tokens("o")}), {sql_tokens("parts[n + 2]")}), list_append(choice, i)
+  from (select *, unnest(opts) as o, unnest(range(0, len(opts))) as i from
+    (select *, case when contains(blocks[n + 1], '|') then string_split(blocks[n + 1][2:-2], '|') else [blocks[n + 1][2:-2], ''] end as opts from reading where n < len(blocks)))),
+tried as (select p.rec_id, p.pipeline, p.h, r.toks as t, r.choice, list_transform(r.toks, lambda x: x = '<*>') as wild,
+    list_transform(range(0, len(r.toks) + 1), lambda k: cast(coalesce(list_sum(list_transform(r.toks[:k], lambda x: case when x = '<*>' then 0 else 100000000000 + 100000 * length(x) end)), 0) as bigint)) as gone
+  from pred p join reading r on p.rec_id = r.rec_id and p.text = r.text where r.n = len(r.blocks)),
 dp as (
-  select rec_id, pipeline, t, h, 0 as i, list_transform(range(0, len(t) + 1), lambda j: j::bigint) as r from pred
+  select *, 0 as i, gone as r from tried
   union all
-  select rec_id, pipeline, t, h, i + 1, list_transform(range(0, len(t) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k:
-    (case when k = 0 then r[1] + 1 else least(r[k + 1] + 1, r[k] + (case when t[k] = h[i + 1] then 0 else 1 end)) end) - k)))
-  from dp where i < len(h)),
-scored as (select rec_id, pipeline, r[len(t) + 1] as n_errors from dp where i = len(h))"""
-SQL_ERRORS = "recursive " + SQL_ERRORS
+  select rec_id, pipeline, h, t, choice, wild, gone, i + 1, list_transform(range(0, len(t) + 1), lambda j: gone[j + 1] + list_min(base[:j + 1])) from
+    (select *, list_transform(range(0, len(t) + 1), lambda k: least(
+      r[k + 1] + case when k > 0 and wild[k] then 0 else 100000000000 + 100000 * length(h[i + 1]) end,
+      case when k > 0 then r[k] + case when wild[k] then 0 when t[k] = h[i + 1] then -1 else 100000000000 + 100000 * ({sql_distance("t[k]", "h[i + 1]")}) end end) - gone[k + 1]) as base
+    from dp where i < len(h))),
+best as (select rec_id, pipeline, t, h, choice, r[len(t) + 1] + 99999 as x from dp where i = len(h)
+  qualify row_number() over (partition by rec_id, pipeline order by x, choice) = 1),
+scored as (select rec_id, pipeline, t, h, choice, cast(x // 100000000000 as integer) as n_word_errors, cast(x % 100000000000 // 100000 as integer) as n_char_errors,
+  cast(99999 - x % 100000 as integer) as n_correct, cast(len(list_filter(t, lambda w: w <> '<*>')) as integer) as true_len from best)"""

@@ -10,7 +10,7 @@ from tessitura.operators.asof import asof, micros, overlap_pairs
 from tessitura.operators.fuzzy import cosine_topk_blocks, edit_neighbours
 from tessitura.operators.intervals import to_ms
 from tessitura.operators.windows import running
-from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, truth
+from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_distance, sql_tokens, truth
 from tessitura.functions.tokenize import tokenize
 from tessitura.session import table
 from tessitura.sources.registry import pending
@@ -161,8 +161,9 @@ def zip_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _WORDS = f"""{SQL_TRUTH}, spoken as (select distinct unnest({sql_tokens("text")}) as w from truth),
-said as (select w from spoken where regexp_full_match(w, '[a-z]{{4,}}')),
-dict as (select distinct lower(unnest(regexp_extract_all(p_name, '[A-Za-z]{{4,}}'))) as d from part)"""
+said as (select w from spoken where regexp_matches(w, '[\\p{{L}}\\p{{N}}]')),
+dict as (select d from (select distinct unnest({sql_tokens("p_name")}) as d from part) where regexp_matches(d, '[\\p{{L}}\\p{{N}}]')),
+apart as (select w, d, {sql_distance("w", "d")} as dist from said, dict where abs(length(w) - length(d)) <= 3)"""
 
 
 def said_and_dictionary(spark, sf):
@@ -171,7 +172,7 @@ def said_and_dictionary(spark, sf):
     return words(truth(spark, sf), "text", "w"), words(table(spark, sf, "part"), "p_name", "d")
 
 
-@query(f"""with {_WORDS} select w, d, levenshtein(w, d) as dist from said, dict where abs(length(w) - length(d)) <= 2 and levenshtein(w, d) <= 2""")
+@query(f"with {_WORDS} select w, d, dist from apart where dist <= 2")
 def fuzzy_dict_match(spark: SparkSession, sf: str) -> DataFrame:
     """Spoken words and dictionary words at most two edits apart, by deletion neighbourhoods: an equality join, not all pairs."""
     said, d = said_and_dictionary(spark, sf)

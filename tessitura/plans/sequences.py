@@ -145,8 +145,8 @@ HISTORY = 100
 _SEGWORDS = f"""seg as (select distinct rec_id, seg_id, start_time, {sql_tokens('text')} as w from timed_text where text is not null and len({sql_tokens('text')}) > 0)"""
 
 
-@query(f"""with {_SEGWORDS}, h as (select rec_id, seg_id, flatten(list(w) over (partition by rec_id order by start_time, seg_id rows between 10 preceding and 1 preceding)) as h from seg)
-select rec_id, seg_id, array_to_string(coalesce(h[-10:], []), ' ') as history from h""")
+@query(f"""with {_SEGWORDS}, h as (select rec_id, seg_id, flatten(list(w) over (partition by rec_id order by start_time, seg_id rows between {HISTORY} preceding and 1 preceding)) as h from seg)
+select rec_id, seg_id, array_to_string(coalesce(h[-{HISTORY}:], []), ' ') as history from h""")
 def context_history(spark: SparkSession, sf: str) -> DataFrame:
     """The last hundred words said before each text: every text has one at least, so a hundred rows before it are enough."""
     seg = table(spark, sf, "timed_text").filter("text is not null").select("rec_id", "seg_id", "start_time", tokenize(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()
@@ -156,15 +156,31 @@ def context_history(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("rec_id", "seg_id", F.array_join(last, " ").alias("history"))
 
 
-@query("""with f as (select label, row_number() over (partition by label order by vec_id) - 1 as t, list_position(embedding[1:8], list_max(embedding[1:8])) - 1 as sym
-  from embeddings where embedding is not null and label is not null),
-g as (select *, sum((p is null or p <> sym)::int) over (partition by label order by t) as g from (select *, lag(sym) over (partition by label order by t) as p from f)),
-r as (select label, g, sym, min(t) as a, max(t) + 1 as b from g where sym <> 0 group by 1, 2, 3)
-select label, cast(row_number() over (partition by label order by a) - 1 as integer) as token, cast(sym as integer) as sym, cast(a as integer) as first, cast(b as integer) as last from r""")
+@query(f"""with recursive {SQL_TRUTH}, tx as (select rec_id, min(text) as text from truth group by 1),
+tt as (select row_number() over (order by rec_id) as place, list_transform({sql_tokens('text')}, lambda w: 1 + (31 * length(w) + unicode(w)) % 63) as tokens from tx),
+fr as (select label, row_number() over (partition by label order by vec_id) as t, list_transform(embedding, lambda y: cast(y as double)) as x from embeddings where embedding is not null and label is not null),
+lab as (select label, row_number() over (order by label) as place, n from (select label, count(*) as n from fr group by 1)),
+job as (select label, n, tokens, flatten([[0], flatten(list_transform(tokens, lambda k: [k, 0]))]) as sym,
+  len(tokens) + len(list_filter(range(2, len(tokens) + 1), lambda i: tokens[i] = tokens[i - 1])) as need from lab join tt using (place) where len(tokens) > 0),
+v as (
+  select label, n, sym, 1 as t, list_transform(range(1, len(sym) + 1), lambda s: case when s <= 2 then x[sym[s] + 1] else -1e300 end) as score, [cast([] as bigint[])] as back
+  from job join fr using (label) where t = 1 and n >= need
+  union all
+  select label, n, sym, t, list_transform(o, lambda z: z.best + x[z.sym + 1]), list_append(back, list_transform(o, lambda z: z.move)) from (
+    select v.label, v.n, v.sym, f.t, f.x, v.back, list_transform(list_transform(range(1, len(v.sym) + 1), lambda s: {{'s': s, 'a': v.score[s], 'b': case when s > 1 then v.score[s - 1] else -1e301 end,
+      'c': case when s > 2 and v.sym[s] <> 0 and v.sym[s] <> v.sym[s - 2] then v.score[s - 2] else -1e301 end}}),
+      lambda q: {{'best': greatest(q.a, q.b, q.c), 'sym': v.sym[q.s], 'move': case when q.a >= q.b and q.a >= q.c then 0 when q.b >= q.c then 1 else 2 end}}) as o
+    from v join fr f on v.label = f.label and f.t = v.t + 1)),
+path as (
+  select label, t, back, sym, case when score[-1] > score[-2] then len(sym) else len(sym) - 1 end as s from v where t = n
+  union all select label, t - 1, back, sym, s - back[t][s] from path where t > 1),
+spans as (select label, s // 2 - 1 as token, any_value(sym[s]) as sym, min(t) - 1 as first, max(t) as last from path where s % 2 = 0 group by 1, 2),
+few as (select label, unnest(range(0, len(tokens))) as token, unnest(tokens) as sym, null as first, null as last from job where n < need)
+select cast(label as integer) as label, cast(token as integer) as token, cast(sym as integer) as sym, cast(first as integer) as first, cast(last as integer) as last from (select * from spans union all select * from few)""")
 def forced_align(spark: SparkSession, sf: str) -> DataFrame:
     """Frames of each word of a given transcript, by the most probable path through its classes; null where there are too few frames.
 
-    The transcripts come from elsewhere: labels and truths are paired in the order of their numbers, words are classes 1 to 63 by a hash.
+    The transcripts come from elsewhere: labels and truths are paired in the order of their numbers, words are classes 1 to 63 by their length and first letter.
     """
     schema = "label int, token int, sym int, first int, last int"
 
@@ -181,7 +197,7 @@ def forced_align(spark: SparkSession, sf: str) -> DataFrame:
         return pd.DataFrame({"label": frames["label"].iloc[0], "token": [k for k, _, _ in rows], "sym": [tokens[k] for k, _, _ in rows], "first": [a for _, a, _ in rows], "last": [b for _, _, b in rows]}).astype({"first": "Int32", "last": "Int32"})
 
     e = table(spark, sf, "embeddings").filter("embedding is not null and label is not null").select("label", "vec_id", "embedding")
-    t = truth(spark, sf).groupBy("rec_id").agg(F.min("text").alias("text")).select(F.row_number().over(W.orderBy("rec_id")).alias("place"), F.transform(tokenize(F.col("text")), lambda w: (1 + F.crc32(w.cast("binary")) % 63).cast("int")).alias("tokens"))
+    t = truth(spark, sf).groupBy("rec_id").agg(F.min("text").alias("text")).select(F.row_number().over(W.orderBy("rec_id")).alias("place"), F.transform(tokenize(F.col("text")), lambda w: (1 + (31 * F.length(w) + F.ascii(w)) % 63).cast("int")).alias("tokens"))
     t = e.select("label").distinct().withColumn("place", F.row_number().over(W.orderBy("label"))).join(t, "place").select(F.col("label").alias("of"), "tokens")
     return e.groupBy("label").cogroup(t.groupBy("of")).applyInPandas(run, schema)
 
@@ -250,7 +266,16 @@ def _merged(parts: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else merge_sentences(list(p), 230, 60) for p in parts])
 
 
-@query(f"with {SQL_TRUTH} select rec_id, length(array_to_string(list_filter(regexp_split_to_array(text, '[.!?]+ +'), lambda x: x <> ''), ' ')) as chars from truth")
+@query(f"""with recursive {SQL_TRUTH}, s as (select rec_id, unnest(l) as s, unnest(range(0, len(l))) as k from (select rec_id, list_filter(regexp_split_to_array(text, '[.!?]+ +'), lambda x: x <> '') as l from truth)),
+w as (select rec_id, k, s, list_filter(string_split(s, ' '), lambda x: x <> '') as w from s where length(s) > 230),
+p as (select rec_id, k, w, 1 as i, [w[1]] as parts from w where len(w) > 0
+  union all select rec_id, k, w, i + 1, case when length(parts[-1]) + 1 + length(w[i + 1]) <= 230 then list_concat(parts[:-2], [parts[-1] || ' ' || w[i + 1]]) else list_append(parts, w[i + 1]) end from p where i < len(w)),
+short as (select rec_id, k, [s] as parts from s where length(s) <= 230 union all select rec_id, k, parts from p where i = len(w)),
+m as (select rec_id, coalesce(flatten(list(parts order by k) filter (parts is not null)), []) as parts, 1 as i from truth left join short using (rec_id) group by 1
+  union all select rec_id, list_concat(list_concat(parts[:i - 1], [parts[i] || ' ' || parts[i + 1]]), parts[i + 2:]), i from (
+    select rec_id, parts, list_min(list_filter(list_transform(range(1, len(parts)), lambda j: {{'n': length(parts[j]) + length(parts[j + 1]) + 1, 'i': j, 's': least(length(parts[j]), length(parts[j + 1]))}}), lambda x: x.n <= 230 and x.s < 60)).i as i from m)
+  where i is not null)
+select rec_id, length(array_to_string(parts, ' ')) as chars, parts from m qualify row_number() over (partition by rec_id order by len(parts)) = 1""")
 def sentence_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences, those over 230 characters split by space first, merged to at most 230; a longer word stands alone. Their number of characters joined, and the parts."""
     sentences = F.filter(F.split("text", "[.!?]+ +"), lambda x: x != "")
@@ -264,7 +289,7 @@ EDITS = (0, 0, 0, 1, 1, 1, 2, 2, 2, 3)
 
 
 @query(f"""with {_WORDS}, lim as (select unnest(range(0, 10)) as n, unnest({list(EDITS)}) as k),
-near as (select w, d, levenshtein(w, d) as dist from said, dict, lim where lim.n = least(length(w), 9) and abs(length(w) - length(d)) <= 3 and levenshtein(w, d) <= lim.k),
+near as (select w, d, dist from apart, lim where lim.n = least(length(w), 9) and dist <= lim.k),
 best as (select w, min(dist) as dist from near group by 1)
 select near.w, min(d) as correction, near.dist from near join best on near.w = best.w and near.dist = best.dist where near.dist > 0 group by 1, 3 having count(*) = 1""")
 def fuzzy_correct(spark: SparkSession, sf: str) -> DataFrame:
@@ -277,7 +302,9 @@ def fuzzy_correct(spark: SparkSession, sf: str) -> DataFrame:
     return best.filter(one & (F.col("m.dist") > 0)).select("w", F.col("m.d").alias("correction"), F.col("m.dist").cast("bigint").alias("dist"))
 
 
-@query(f"with {SQL_TRUTH} select rec_id, regexp_replace(text, '(^|[^\\p{{L}}\\p{{N}}_])[0-9]+($|[^\\p{{L}}\\p{{N}}_])', '\\1#\\2', 'g') as text from truth where not regexp_matches(text, '[0-9]+[^\\p{{L}}\\p{{N}}_][0-9]+')")
+@query(f"""with {SQL_TRUTH}, cut as (select *, regexp_replace(text, '\\{{[^{{}}]*\\}}', chr(1), 'g') as bare from truth)
+select rec_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda x: case when regexp_full_match(x, '[0-9]+') then '#' else x end), '') as text
+from cut where not regexp_matches(bare, '[{{}}]|[^\\s\\p{{Z}}]\\x01|\\x01[^\\s\\p{{Z}}]')""")
 def apply_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers put by a sign, from right to left at the offsets of their tokens."""
     t = truth(spark, sf).select("rec_id", "text", parse_multivariant("text").alias("p")).filter("p.error is null")

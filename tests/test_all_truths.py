@@ -3,6 +3,7 @@
 import itertools
 import re
 
+from tessitura.functions.alignment import aligned
 from tessitura.plans import alignment
 from tessitura.plans.common import predictions
 from tessitura.plans.sequences import apply_corrections
@@ -12,8 +13,20 @@ from tests.test_scores import TRUTHS, folder, want  # noqa: F401
 def test_matches_and_lengths_of_all_truths(spark, folder):  # noqa: F811
     expected = want(spark, folder)
     assert {(r.rec_id, r.pipeline): r.n_word_errors for r in alignment.align_matches(spark, folder).collect()} == {k: e for k, (e, _) in expected.items()}
-    lengths = {r.rec_id: r.n for r in alignment.true_len(spark, folder).collect()}
-    assert set(lengths) == set(range(len(TRUTHS))) and all(n in expected[k, "drop7"][1] for k, n in lengths.items())
+    lengths = {(r.rec_id, r.pipeline): r.n for r in alignment.true_len(spark, folder).collect()}
+    assert set(lengths) == set(expected) and all(n in expected[k][1] for k, n in lengths.items())
+
+
+def test_buckets_hold_every_word_in_its_place(spark):
+    rows = [(1, "p", "a <*> b d e {x y|} c", "a q a s t b d e x z c c".split()), (2, "p", "a b", ["b"]), (3, "p", "a", []), (4, "p", "<*>", ["k", "l"])]
+    k = spark.createDataFrame(rows, "rec_id long, pipeline string, text string, h array<string>").select("rec_id", "pipeline", aligned("text", "h").alias("a"))
+    got = sorted((r.rec_id, r.slot, r.true, r.words, r.has_error) for r in alignment.buckets(k).collect())
+    assert got == [
+        (1, 1, "a", "a", False), (1, 3, "<*>", "q a s t", False), (1, 5, "b", "b", False), (1, 7, "d", "d", False), (1, 9, "e", "e", False), (1, 11, "x", "x", False), (1, 13, "y", "z", True), (1, 15, "c", "c", False), (1, 16, None, "c", True),
+        (2, 1, "a", "", True), (2, 3, "b", "b", False), (3, 1, "a", "", True), (4, 1, "<*>", "k l", False),
+    ]
+    side = {(r.rec_id, r.slot): (r.truth, r.p, r.other) for r in alignment.side_by_side(alignment.buckets(k), ["p", "other"]).collect()}
+    assert side[1, 13] == ("y", "Z", None) and side[1, 16] == (None, "C", None) and side[2, 1] == ("a", "", None)
 
 
 def test_roundtrip_is_a_reading_and_the_hypothesis(spark, folder):  # noqa: F811

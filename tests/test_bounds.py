@@ -2,10 +2,18 @@ from tessitura.functions.alignment import align
 from tessitura.functions.multivariant import parse
 from tessitura.plans.aggregates import anything_time_fill, insertion_bounds
 from tessitura.plans.common import predictions
-from tests.test_partial import TEXT, TIMES, folder  # noqa: F401
+from tests import test_partial
 
+#: Nine words and more, so that a pipeline says one of them twice.
+TEXT = test_partial.TEXT + " xa yb"
+PIECES, TIMES = [*test_partial.PIECES, ("xa", 2.8, 3.0), ("yb", 3.1, 3.4)], [*test_partial.TIMES, (2.8, 3.0), (3.1, 3.4)]
 
-def test_every_insertion_of_the_alignments_has_bounds(spark, folder):  # noqa: F811
+
+def test_every_insertion_of_the_alignments_has_bounds(spark, tmp_path):
+    folder = str(tmp_path)
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    put("recording", [(1, "d", "test", 1, "en", TEXT)], "rec_id long, dataset_name string, split_name string, sample_idx int, lang string, transcription string")
+    put("transcript_token", [(k, 1, v, TEXT.index(v), TEXT.index(v) + len(v), s, e) for k, (v, s, e) in enumerate(PIECES)], "token_id long, rec_id long, value string, start_pos int, end_pos int, start_time double, end_time double")
     want = {}
     for r in predictions(spark, folder).collect():
         m = align(parse(TEXT), list(r.h))["matches"]

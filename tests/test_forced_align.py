@@ -1,5 +1,4 @@
 import itertools
-import zlib
 
 import numpy as np
 
@@ -17,7 +16,7 @@ def test_a_given_transcript_is_aligned_over_all_classes(spark, tmp_path):
     for r in forced_align(spark, str(tmp_path)).collect():
         got.setdefault(r.label, {})[r.token] = (r.sym, r.first, r.last)
     for label, rec in enumerate(sorted(texts)):
-        tokens = [1 + zlib.crc32(w.encode()) % 63 for w in texts[rec].split()]
+        tokens = [1 + (31 * len(w) + ord(w[0])) % 63 for w in texts[rec].split()]
         assert max(tokens) > 7
         if label == 2:
             assert got[label] == {k: (c, None, None) for k, c in enumerate(tokens)}

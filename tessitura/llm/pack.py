@@ -18,8 +18,8 @@ from tessitura.llm.encode import encode_corpus
 from tessitura.session import materialize
 
 CAPACITY = 2_048
-#: Items in a group (some MB in one task), and rounds of exchange at most.
-GROUP, ROUNDS = 50_000, 4
+#: Items in a group (some MB in one task).
+GROUP = 50_000
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -101,11 +101,14 @@ def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     )
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """key, piece, n_pieces, size, grp, bin: the container (grp, bin) of each piece of each item. items: key (unique), size.
 
     An item larger than the capacity is split into full pieces and a rest; no other is. Items of size 0 take no room and lie in
     any container; a null size counts as 0. Equal sizes go in order of key and piece. No items, no rows.
+
+    Groups above their bound exchange items until one of them at most is left or a round saves no container; each round but the last
+    saves one at least, so this ends. What is left above the bound, ``certificate`` tells.
     """
     size = F.coalesce(F.col("size"), F.lit(0)).cast("int")
     n = F.greatest(F.ceil(size / capacity), F.lit(1)).cast("int")
@@ -120,7 +123,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
 
     state = fill(pieces, groups, 0)
     done, base = None, groups
-    for _ in range(rounds):
+    while True:
         gap = F.col("bins") > F.col("bound")
         # Containers of uncertified groups that have room left are opened again; full ones stay.
         loose = state.filter(gap & (F.col("free") > 0))
@@ -156,10 +159,10 @@ def packed_documents(documents: DataFrame, capacity: int = CAPACITY, path: str |
 
 
 def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers used, what all items together need at least, and the share of room left. The histogram has capacity + 1 rows at most."""
+    """One row: containers used, what all items together need at least, the gap between them, and the share of room left. The histogram has capacity + 1 rows at most."""
     hist = packed.groupBy("n_tokens").count()
     bins = packed.select("container").distinct().count()
     rows = hist.collect()
     bound = lower_bound(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), capacity)
     tokens = sum(r[0] * r[1] for r in rows)
-    return packed.sparkSession.createDataFrame([(bins, bound, 1 - tokens / (bins * capacity) if bins else 0.0)], "containers bigint, bound bigint, unused double")
+    return packed.sparkSession.createDataFrame([(bins, bound, bins - bound, 1 - tokens / (bins * capacity) if bins else 0.0)], "containers bigint, bound bigint, gap bigint, unused double")

@@ -42,13 +42,41 @@ def asof(probes: DataFrame, events: DataFrame, by: Sequence[str], probe_at: Colu
     return out.select("__p.*", *[F.col(f"__v.v.{v}").alias(v) for v in values])
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], width: float) -> DataFrame:
-    """left and right (columns s, e and others, apart from the keys of different names: right's are rs, re) that overlap, with the overlap.
+#: Bins that an interval touches at most on its own level, as a power of two; each level's bins are so many times wider than the last one's.
+_SPAN_BITS, _LEVELS = 6, 9
 
-    Each side meets the other only in bins of ``width`` that both touch; a pair counts in the first of them.
+
+def _bin_width(level: Column, width: int) -> Column:
+    return F.lit(width).cast("bigint") * F.pow(F.lit(2.0), level * _SPAN_BITS).cast("bigint")
+
+
+def _level(s: Column, e: Column, width: int) -> Column:
+    """The first level on which an interval touches few bins."""
+    out = F.lit(0)
+    for k in range(1, _LEVELS):
+        out = out + (e - s > F.lit(width << (_SPAN_BITS * k))).cast("int")
+    return out
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """left and right (columns s, e and others, apart from the keys of different names: right's are rs, re; whole numbers) that overlap, with the overlap.
+
+    Each side meets the other only in bins of ``width`` that both touch; a pair counts in the first of them. An interval of more than
+    64 bins lies in bins of a wider level, of which it touches 65 at most, so a far end costs no more than any other; the
+    other side lies on its own level and on those above it that this side has (its highest level is a subquery of one row). A
+    pair meets on the higher level of the two.
     """
-    bins = lambda s, e: F.explode(F.sequence(F.floor(s / width), F.floor(e / width))).alias("__bin")
-    a = left.filter("e >= s").select("*", bins(F.col("s"), F.col("e")))
-    b = right.filter("re >= rs").select("*", bins(F.col("rs"), F.col("re")))
-    both = a.join(b, [*by, "__bin"]).filter("s < re and rs < e").filter(F.col("__bin") == F.floor(F.greatest("s", "rs") / width))
-    return both.withColumn("overlap", F.least("e", "re") - F.greatest("s", "rs")).drop("__bin")
+    a = left.filter("e >= s").withColumn("__level", _level(F.col("s"), F.col("e"), width))
+    b = right.filter("re >= rs").withColumn("__level", _level(F.col("rs"), F.col("re"), width))
+    top = lambda df: F.coalesce(df.agg(F.max("__level").alias("t")).scalar(), F.lit(0))
+
+    def spread(df, s, e, other, own):
+        on = df.select("*", F.explode(F.sequence(F.col("__level"), F.greatest(F.col("__level"), other))).alias("__on")).withColumnRenamed("__level", own)
+        w = _bin_width(F.col("__on"), width)
+        return on.select("*", F.explode(F.sequence(F.floor(s / w), F.floor(e / w))).alias("__bin"))
+
+    x = spread(a, F.col("s"), F.col("e"), top(b), "__la")
+    y = spread(b, F.col("rs"), F.col("re"), top(a), "__lb")
+    both = x.join(y, [*by, "__on", "__bin"]).filter("s < re and rs < e and __on = greatest(__la, __lb)")
+    both = both.filter(F.col("__bin") == F.floor(F.greatest("s", "rs") / _bin_width(F.col("__on"), width)))
+    return both.withColumn("overlap", F.least("e", "re") - F.greatest("s", "rs")).drop("__on", "__bin", "__la", "__lb")

@@ -43,7 +43,7 @@ def asof(probes: DataFrame, events: DataFrame, by: Sequence[str], probe_at: Colu
 
 
 #: Bins that an interval touches at most on its own level, as a power of two; each level's bins are so many times wider than the last one's.
-_SPAN_BITS, _LEVELS = 6, 9
+_SPAN_BITS = 6
 
 
 def _bin_width(level: Column, width: int) -> Column:
@@ -52,9 +52,9 @@ def _bin_width(level: Column, width: int) -> Column:
 
 def _level(s: Column, e: Column, width: int) -> Column:
     """The first level on which an interval touches few bins."""
-    out = F.lit(0)
-    for k in range(1, _LEVELS):
-        out = out + (e - s > F.lit(width << (_SPAN_BITS * k))).cast("int")
+    out, most = F.lit(0), width << _SPAN_BITS
+    while most < 2**62:
+        out, most = out + (e - s > F.lit(most)).cast("int"), most << _SPAN_BITS
     return out
 
 

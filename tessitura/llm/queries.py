@@ -10,7 +10,7 @@ from tessitura.llm.lookalike import consistent_texts, lookalike_pairs
 from tessitura.llm.pack import certificate, packed_documents
 from tessitura.llm.split import LIMIT_S, split_recordings
 from tessitura.llm.stuffing import stuffed_pages, stuffing
-from tessitura.llm.turns import speaker_turns
+from tessitura.llm.turns import calibrated_pause, rolling_captions, speaker_turns
 from tessitura.session import table
 
 
@@ -39,12 +39,25 @@ def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _turns(spark: SparkSession, sf: str, **options) -> DataFrame:
+    return speaker_turns(table(spark, sf, "timed_text"), table(spark, sf, "diarization_segment"), table(spark, sf, "speaker_alias"), **options)
+
+
 def p5_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return speaker_turns(table(spark, sf, "timed_text"), table(spark, sf, "diarization_segment"), table(spark, sf, "speaker_alias"))
+    return _turns(spark, sf)
+
+
+def p5_paused(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns that also end at pauses longer than all but a twentieth of the table's."""
+    return _turns(spark, sf, pause=calibrated_pause(table(spark, sf, "timed_text")))
+
+
+def p5_captions(spark: SparkSession, sf: str) -> DataFrame:
+    return rolling_captions(table(spark, sf, "timed_text"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_turns(spark, sf).select("rec_id", "speaker_idx", "first_seg_id", "last_seg_id")
+    return _turns(spark, sf, with_text=False).select("rec_id", "speaker_idx", "first_seg_id", "last_seg_id")
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +84,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return stuffed_pages(table(spark, sf, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_turns": p5_turns, "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_certificate": p7_certificate, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_turns": p5_turns, "p5_paused": p5_paused, "p5_captions": p5_captions, "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_certificate": p7_certificate, "p8_found": p8_found, "p8_share": p8_share}
 ORACLE = {
     "p1_found": """
 with rec as (
@@ -88,4 +101,9 @@ bound as (
 gap as (select rec_id, e - lag(e) over (partition by rec_id order by e) g from bound)
 select rec_id, 'oversized' as kind from rec
 union all select rec_id, 'uncuttable' from gap group by rec_id having max(g) > 30000000""",
+    "p5_captions": """
+with t as (select distinct rec_id, seg_id, start_time, text from timed_text where rec_id is not null and seg_id is not null and start_time is not null and text is not null),
+w as (select rec_id, seg_id, list_filter(string_split(text, ' '), lambda x: true) as w, lag(string_split(text, ' ')) over (partition by rec_id order by start_time, seg_id, text) as b from t),
+l as (select rec_id, seg_id, list_transform(w, lambda x: lower(x)) as w, list_transform(b, lambda x: lower(x)) as b from w)
+select rec_id, seg_id, cast(coalesce(list_max(list_filter(range(2, least(len(w), len(b)) + 1), lambda k: w[:k] = b[-k:])), 0) as integer) as n_repeated from l""",
 }

@@ -15,7 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura.operators.asof import overlap_pairs
 from tessitura.operators.intervals import speaker_periods, to_ms
+from tessitura.operators.windows import previous, running
 from tessitura.session import at_least_parallel, materialize
 
 #: Words that say a bracket holds a sound or a transcriber's note, as beginnings of words in lower case.
@@ -23,20 +25,23 @@ SOUNDS = (
     "laugh", "chuckl", "giggl", "cough", "sneez", "sigh", "breath", "inhal", "exhal", "gasp", "groan", "yawn", "sob", "cry", "whistl", "hum", "clap", "applau", "cheer",
     "music", "sing", "song", "jingle", "nois", "silen", "paus", "crosstalk", "overlap", "inaudib", "unintellig", "unclear", "indistinct", "background", "static", "beep", "phone", "ring", "knock", "door", "click", "throat",
     "lach", "gelächter", "hust", "nies", "seufz", "atm", "stöhn", "gähn", "beifall", "applaus", "klatsch", "musik", "rausch", "geräusch", "stille", "unverständlich", "durcheinander", "räusper", "klingel", "hintergrund",
+    "rire", "applaud", "musique", "toux", "tousse", "soupir", "bruit", "inaudible", "chuchot", "risa", "ríe", "aplaus", "música", "tos", "suspir", "ruido", "silencio", "ininteligible", "murmull",
     "смех", "смеёт", "смеет", "кашел", "кашля", "вздох", "вздых", "вдох", "выдох", "дыхан", "аплодисмент", "хлоп", "музык", "шум", "пауз", "тишин", "неразборчив", "звон", "стук", "фон", "зева", "помех",
 )
 #: Words before a speaker's number.
 SPEAKER_WORDS = ("speaker", "спикер", "sprecher", "spk", "s")
-#: Words that show a text is German, where a bare "er" or "um" is a word and no filler.
-GERMAN = frozenset(("erst", "nur", "bitte", "nach", "bis", "der", "die", "das", "und", "ist", "nicht", "ein", "eine", "wir", "ich", "es", "zu", "den", "dem", "von", "mit", "war", "hat", "wenn", "dass"))
+#: Words that show a text is English, where a bare "er" or "um" is a filler; elsewhere they may be words.
+ENGLISH = frozenset(("the", "a", "an", "and", "of", "to", "is", "it", "that", "we", "you", "this", "was", "for", "with", "they", "every", "please", "my", "our", "yes", "right", "my", "what", "because", "are", "were", "not", "from", "says", "could", "would", "had", "have", "nobody"))
+WORDLIKE = frozenset(("er", "um"))
+#: A note has at most so many words, in square or angle brackets without a word for a sound; with one, so many.
+NOTE_WORDS, SOUND_WORDS = 2, 4
 
 _FILLER = r"(?:u+h+m*|u+m+|e+r+m+|er+|h+m+|m+h+m*|m{2,}|ä+h+m*|ö+h*m*|э+(?:-э+)*м*|м{2,}|хм+)"
 FILLERS = re.compile(rf"(?<![\w-]){_FILLER}(?![\w-])(?:\.{{2,}}|…|,)?", re.I)
 _CLOCK = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _FULL = r"\d{1,3}:\d{2}:\d{2}(?:[.,]\d{1,3})?"
 STAMPS = re.compile(rf"(?:[\[(<]\s*(?:{_CLOCK}|\d+(?:[.,]\d+)?\s*s)\s*(?:-->?\s*{_CLOCK}\s*)?[\])>]|{_FULL}(?:\s*-->(?:\s*{_FULL})?)?)\s*")
-NOTES = re.compile(r"\(\([^()]*\)\)|\[[^\[\]]*\]|<[^<>]*>|\*[^*]+\*|[♪♫][^♪♫]*[♪♫]|[♪♫]")
-ROUND = re.compile(r"\(([^()]*)\)")
+NOTES = re.compile(r"\(\([^()]*\)\)|\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|\*+[^*]+\*+|[♪♫][^♪♫]*[♪♫]|[♪♫]")
 SOUND = re.compile(rf"(?<!\w)(?:{'|'.join(SOUNDS)})", re.I)
 MARKS = re.compile(r"[\[(<*♪♫:]")
 WORD = re.compile(r"\w")
@@ -47,6 +52,17 @@ LOOSE_MARKS = tuple(f" {c}" for c in ",.;:!?…")
 NUMBERED = re.compile(rf"(?:{'|'.join(SPEAKER_WORDS)})[\s_]*#?\s*(\d{{1,9}})", re.I)
 
 
+def _noted(m: re.Match) -> str:
+    """What stays of a bracket: nothing of a note on a sound, the words of emphasis, the whole of a remark somebody spoke."""
+    whole = m[0]
+    if whole[0] in "♪♫":
+        return " "
+    words = WORDS.findall(whole)
+    if not words or (len(words) <= SOUND_WORDS and SOUND.search(whole)) or (whole[0] in "[<" and len(words) <= NOTE_WORDS):
+        return " "
+    return f" {whole.strip('*')} " if whole[0] == "*" else whole
+
+
 @dataclass
 class Parsed:
     speaker: int | None
@@ -103,11 +119,12 @@ class Grammar:
                 break
         body = text[pos:]
         if MARKS.search(body):
-            body = NOTES.sub(" ", STAMPS.sub(" ", body))
-            body = ROUND.sub(lambda m: " " if SOUND.search(m[1]) or not WORD.search(m[1]) else m[0], body)
+            body = NOTES.sub(_noted, STAMPS.sub(" ", body))
         if FILLERS.search(body):
-            german = any(w in GERMAN for w in WORDS.findall(body.lower()))
-            body = FILLERS.sub(lambda m: m[0] if german and m[0].lower() in ("er", "um") else " ", body)
+            bare = FILLERS.sub(" ", body)
+            if WORD.search(bare) and not any(w in ENGLISH for w in WORDS.findall(bare.lower())):
+                bare = FILLERS.sub(lambda m: m[0] if m[0].lower() in WORDLIKE else " ", body)
+            body = bare
         if not WORD.search(body):
             return Parsed(speaker, "", False)
         body = " ".join(body.split())
@@ -116,25 +133,31 @@ class Grammar:
         return Parsed(speaker, body, True)
 
 
-def fresh_words(before: str, text: str) -> str:
-    """text without the words that repeat the end of what came before (rolling captions): the longest suffix of one that is a prefix of the other.
+def repeated_words(before: list[str], words: list[str]) -> int:
+    """How many first words of a text repeat the last ones before it: the longest suffix of one that is a prefix of the other.
 
-    One repeated word alone is no roll ("Yes." after "Yes." was said twice); linear, by the prefix function.
+    One repeated word alone is no roll ("Yes." after "Yes." was said twice); linear, by the prefix function. Only as many words as the
+    text has can matter of what came before.
     """
-    a, b = before.split(), text.split()
-    if len(b) < 2:
-        return text
-    tail = [w.casefold() for w in a[-len(b):]]
-    key = [w.casefold() for w in b]
-    seq = [*key, None, *tail]
+    if len(words) < 2:
+        return 0
+    key = [w.casefold() for w in words]
+    seq = [*key, None, *(w.casefold() for w in before[-len(words) :])]
     fail = [0] * len(seq)
     for i in range(1, len(seq)):
         k = fail[i - 1]
         while k and seq[i] != seq[k]:
             k = fail[k - 1]
         fail[i] = k + (seq[i] == seq[k])
-    k = fail[-1] if tail else 0
-    return " ".join(b[k:]) if k >= 2 else text
+    k = fail[-1] if before else 0
+    return k if k >= 2 else 0
+
+
+def fresh_words(before: str, text: str) -> str:
+    """text without the words that repeat the end of what came before (rolling captions)."""
+    words = text.split()
+    k = repeated_words(before.split(), words)
+    return " ".join(words[k:]) if k else text
 
 
 PARSED = T.StructType([T.StructField("speaker", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("spoken", T.BooleanType())])
@@ -164,47 +187,52 @@ def spoken_texts(timed_text: DataFrame, aliases: dict[str, int]) -> DataFrame:
 
 
 def covering_speaker(texts: DataFrame, periods: DataFrame, bin_ms: int = 60_000) -> DataFrame:
-    """rec_id, seg_id, heard: the speaker whose periods cover most of each text's time; equal covers go to the lower number.
-
-    A range join on time bins: each stretch meets only those in its own minutes, and each bin counts its own share.
-    """
-    bins = lambda s, e: F.explode(F.sequence(F.floor(s / bin_ms), F.floor((e - 1) / bin_ms))).alias("bin")
+    """rec_id, seg_id, heard: the speaker whose periods cover most of each text's time; equal covers go to the lower number."""
     t = texts.select("rec_id", "seg_id", to_ms(F.col("start_time")).alias("s"), to_ms(F.col("end_time")).alias("e")).filter("e > s").distinct()
-    t = t.select("*", bins(F.col("s"), F.col("e")))
-    p = periods.filter("kind = 'period'").select("rec_id", "speaker_idx", F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"))
-    p = p.select("*", bins(F.col("ps"), F.col("pe")))
-    edge = F.col("bin") * bin_ms
-    both = t.join(p, ["rec_id", "bin"]).select("rec_id", "seg_id", "speaker_idx", (F.least("e", "pe", edge + bin_ms) - F.greatest("s", "ps", edge)).alias("ms")).filter("ms > 0")
-    total = both.groupBy("rec_id", "seg_id", "speaker_idx").agg(F.sum("ms").alias("ms"))
+    p = periods.filter("kind = 'period'").select("rec_id", "speaker_idx", F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"))
+    total = overlap_pairs(t, p, ["rec_id"], bin_ms).groupBy("rec_id", "seg_id", "speaker_idx").agg(F.sum("overlap").alias("ms"))
     best = total.groupBy("rec_id", "seg_id").agg(F.max(F.struct("ms", (-F.col("speaker_idx")).alias("minus"))).alias("m"))
     return best.select("rec_id", "seg_id", (-F.col("m.minus")).cast("int").alias("heard"))
 
 
 def calibrated_pause(timed_text: DataFrame, quantile: float = 0.95, slot_s: float = 600.0) -> float:
     """Seconds of pause that only 1 - quantile of all neighbouring texts exceed, over the whole table."""
-    w = W.partitionBy("rec_id", F.floor(F.col("start_time") / slot_s)).orderBy("start_time", "seg_id")
-    rows = timed_text.select("rec_id", "seg_id", "start_time", (F.col("start_time") - F.max("end_time").over(w.rowsBetween(W.unboundedPreceding, -1))).alias("pause"))
-    got = rows.filter("pause > 0").agg(F.percentile_approx("pause", quantile, 10_000)).first()[0]
+    rows = timed_text.filter("rec_id is not null and seg_id is not null and start_time is not null").select("rec_id", "seg_id", "start_time", "end_time").distinct()
+    rows = running(rows, ["rec_id"], ["start_time", "seg_id"], F.floor(F.col("start_time") / slot_s), {"said": ("max", F.col("end_time"))}, inclusive=False)
+    got = rows.select((F.col("start_time") - F.col("said")).alias("pause")).filter("pause > 0").agg(F.percentile_approx("pause", quantile, 10_000)).first()[0]
     return float("inf") if got is None else float(got)
 
 
+@F.pandas_udf(T.IntegerType())
+def _rolled(before: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([0 if a is None or b is None else repeated_words(a.split(" "), b.split(" ")) for a, b in zip(before, text)], dtype="Int32")
+
+
+def rolling_captions(timed_text: DataFrame, slot_s: float = 600.0) -> DataFrame:
+    """rec_id, seg_id, n_repeated: how many first words of each text roll on from the text before it, as written, in order of start_time, then seg_id.
+
+    Null texts, and rows without rec_id, seg_id or start_time, do not count; repeated rows count once.
+    """
+    rows = timed_text.filter("rec_id is not null and seg_id is not null and start_time is not null and text is not null").select("rec_id", "seg_id", "start_time", "text").distinct()
+    rows = previous(rows, ["rec_id"], ["start_time", "seg_id", "text"], F.floor(F.col("start_time") / slot_s), {"before": "text"})
+    return rows.select("rec_id", "seg_id", _rolled("before", "text").alias("n_repeated"))
+
+
 @F.pandas_udf(T.StringType())
 def _joined(parts: pd.Series) -> pd.Series:
     """Texts of one turn, in order, without what rolling captions repeat."""
     out = []
     for p in parts:
-        whole, last = [], ""
+        said: list[str] = []
         for t in p:
-            new = fresh_words(last, t)
-            if new:
-                whole.append(new)
-            last = f"{last} {new}".strip()[-4 * len(t) - 200 :] if new else last
-        out.append(" ".join(whole))
+            words = t.split()
+            said += words[repeated_words(said, words) :]
+        out.append(" ".join(said))
     return pd.Series(out)
 
 
-def speaker_turns(timed_text: DataFrame, diarization_segment: DataFrame, speaker_alias: DataFrame, pause: float | None = None, slot_s: float = 600.0) -> DataFrame:
-    """rec_id, speaker_idx, first_seg_id, last_seg_id, start_time, n_texts, text: the clean turns of each recording.
+def speaker_turns(timed_text: DataFrame, diarization_segment: DataFrame, speaker_alias: DataFrame, pause: float | None = None, slot_s: float = 600.0, with_text: bool = True) -> DataFrame:
+    """rec_id, speaker_idx, first_seg_id, last_seg_id, start_time, n_texts, text: the clean turns of each recording (text: if asked for).
 
     Texts go in order of start_time, then seg_id. Texts without a spoken word belong to no turn and interrupt none. The speaker
     is the one labelled at the head of the text, else the one whose periods cover most of its time; where neither is known
@@ -213,40 +241,44 @@ def speaker_turns(timed_text: DataFrame, diarization_segment: DataFrame, speaker
 
     A null start_time comes first. Rows with a null rec_id or seg_id do not count; repeated rows count once; empty tables give
     no rows. Extra columns, of any name, are ignored.
+
+    Runs of one speaker are found within each slot and written once; one row per slot then tells where the turns of its first and its last
+    run began, and texts are joined per turn only at the end.
     """
     # Two branches read the parsed texts below: written once, they are parsed once.
     texts = materialize(spoken_texts(timed_text, alias_map(speaker_alias)), "spoken-texts")
     heard = covering_speaker(texts.filter("label is null"), speaker_periods(diarization_segment))
     rows = texts.join(heard, ["rec_id", "seg_id"], "left")
     slot = F.coalesce(F.floor(F.col("start_time") / slot_s), F.lit(-(2**50))).cast("bigint")
-    rows = rows.select("rec_id", "seg_id", "start_time", "end_time", F.coalesce("label", "heard").alias("who"), "clean", slot.alias("slot"))
+    rows = rows.select("rec_id", "seg_id", "start_time", "end_time", F.coalesce("label", "heard").alias("who"), slot.alias("slot"), *(["clean"] if with_text else []))
+    late = F.lit(False)
+    if pause is not None:
+        rows = running(rows, ["rec_id"], ["start_time", "seg_id"], F.col("slot"), {"said": ("max", F.col("end_time"))}, inclusive=False)
+        late = F.coalesce(F.col("start_time") - F.col("said") > pause, F.lit(False))
     order = W.partitionBy("rec_id", "slot").orderBy("start_time", "seg_id")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("late", late)
     rows = rows.withColumn("dup", F.coalesce(F.lag("seg_id").over(order) == F.col("seg_id"), F.lit(False)))
     fresh = ~F.col("who").eqNullSafe(F.lag("who").over(order)) | (F.row_number().over(order) == 1)
-    if pause is not None:
-        fresh = fresh | F.coalesce(F.col("start_time") - F.max("end_time").over(before) > pause, F.lit(False))
-    rows = rows.withColumn("run", F.sum((fresh & ~F.col("dup")).cast("int")).over(order)).filter("not dup")
-    here = F.struct("start_time", "seg_id", "clean")
+    rows = rows.withColumn("run", F.sum(((fresh | F.col("late")) & ~F.col("dup")).cast("int")).over(order)).filter("not dup")
+    at = F.struct("start_time", "seg_id")
     runs = rows.groupBy("rec_id", "slot", "run").agg(
-        F.first("who").alias("who"), F.min(F.struct("start_time", "seg_id")).alias("a"), F.max(F.struct("start_time", "seg_id")).alias("z"),
-        F.max("end_time").alias("end"), F.count("*").alias("n"), F.array_sort(F.collect_list(here)).alias("parts"),
+        F.first("who").alias("who"), F.min_by("late", at).alias("late"), F.min(at).alias("a"), F.max(at).alias("z"), F.count("*").alias("n"),
+        *([F.array_sort(F.collect_list(F.struct("start_time", "seg_id", "clean"))).alias("parts")] if with_text else []),
     )
-    last = F.max("run").over(W.partitionBy("rec_id", "slot"))
-    runs = runs.withColumn("last", last)
-    inner = runs.filter("run > 1 and run < last")
-    # The first and last run of each slot meet those of the neighbouring slots; whatever lies between a slot's two keeps them apart.
-    edges = runs.filter("run = 1 or run = last")
-    by = W.partitionBy("rec_id").orderBy("slot", "run")
-    apart = ~F.col("who").eqNullSafe(F.lag("who").over(by)) | (F.row_number().over(by) == 1) | (F.col("run") > 1)
-    if pause is not None:
-        apart = apart | F.coalesce(F.col("a.start_time") - F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)) > pause, F.lit(False))
-    edges = edges.withColumn("turn", F.sum(apart.cast("int")).over(by)).groupBy("rec_id", "turn").agg(
-        F.first("who").alias("who"), F.min("a").alias("a"), F.max("z").alias("z"), F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts")
+    runs = materialize(runs, "runs")
+    # One row for each slot: whether its first run goes on with the last one of the slot before, and where the turn of its last run began.
+    ends = runs.groupBy("rec_id", "slot").agg(F.min_by(F.struct("who", "late"), "run").alias("head"), F.max_by(F.struct("who", "a"), "run").alias("tail"), F.max("run").alias("last"))
+    by = W.partitionBy("rec_id").orderBy("slot")
+    past = by.rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("on", F.lag("last").over(by).isNotNull() & F.col("head.who").eqNullSafe(F.lag("tail.who").over(by)) & ~F.col("head.late"))
+    began = F.when(~F.col("on") | (F.col("last") > 1), F.col("tail.a"))
+    ends = ends.withColumn("since", F.last(began, ignorenulls=True).over(past))
+    ends = ends.filter("on").select("rec_id", "slot", F.lit(1).alias("run"), "since")
+    turns = runs.join(ends, ["rec_id", "slot", "run"], "left").withColumn("turn", F.coalesce("since", "a"))
+    turns = turns.groupBy("rec_id", "turn").agg(
+        F.first("who").alias("who"), F.max("z").alias("z"), F.sum("n").alias("n"), *([F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts")] if with_text else [])
     )
-    cols = ["rec_id", "who", "a", "z", "n", "parts"]
-    turns = inner.select(*cols).unionAll(edges.select(*cols))
     return turns.select(
-        "rec_id", F.col("who").alias("speaker_idx"), F.col("a.seg_id").alias("first_seg_id"), F.col("z.seg_id").alias("last_seg_id"), F.col("a.start_time").alias("start_time"),
-        F.col("n").alias("n_texts"), _joined(F.transform("parts", lambda x: x["clean"])).alias("text"),
+        "rec_id", F.col("who").alias("speaker_idx"), F.col("turn.seg_id").alias("first_seg_id"), F.col("z.seg_id").alias("last_seg_id"), F.col("turn.start_time").alias("start_time"),
+        F.col("n").alias("n_texts"), *([_joined(F.transform("parts", lambda x: x["clean"])).alias("text")] if with_text else []),
     )

@@ -15,11 +15,11 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessitura.session import materialize, parallelism
+from tessitura.session import materialize
 
 #: Letters of the same shape, as Latin, Cyrillic, Greek; '.' where the script has none.
 SAME_SHAPE = """
@@ -64,19 +64,29 @@ y у γ
 . Ф Φ
 . Л Λ
 """
+#: Letters of further scripts with the shape of a Latin capital, in the order of LATIN ('.': none).
+LATIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LISU = "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑ.ꓣꓢꓔꓴꓦꓪꓫꓬꓜ"
+CHEROKEE = "ᎪᏴᏟᎠᎬ.ᏀᎻ.ᎫᏦᏞᎷ..Ꮲ.ᏒᏚᎢ.ᏙᎳ..Ꮓ"
+COPTIC = "ⲀⲂⲤ....ⲎⲒ.Ⲕ.ⲘⲚⲞⲢ...Ⲧ...Ⲭ..".ljust(26, ".")
+#: Signs with the look of another sign (left as written: right).
+SIGNS = "‐:- ‑:- ⁃:- ˗:- ’:' ‘:' ‛:' ʼ:' ʹ:' ′:' “:\" ”:\" ‟:\" ″:\" ⁄:/ ∕:/ ․:. ∶:: ꞉:: ǃ:! ∣:| ǀ:|"
 #: Further letters of one script with the shape of another letter (left as written: right).
 ALSO = "ɡ:g ɑ:a ı:i Ү:Y ү:y ϲ:c Ϲ:C ϳ:j υ:u ս:u օ:o ո:n Օ:O Տ:S Լ:L հ:h ց:g զ:q ѡ:w ϒ:Y ꓲ:I ꓳ:O ꓢ:S ꓮ:A"
 #: Invisible characters besides those of Unicode's format category (Cf) and variation selectors.
 INVISIBLE = "­͏ᅟᅠ឴឵᠋᠌᠍᠎ㅤﾠ⠀"
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
 PREFERENCE = {s: i for i, s in enumerate(SCRIPTS)}
-#: Compatibility forms that look like what they stand for; others (superscripts, fractions, circles) look different.
+#: Compatibility forms that look like what they stand for; others (superscripts, fractions, circles) look different. Of those the Unicode
+#: data only calls compatible, the same look have those with these words in their names.
+COMPATIBLE = ("ROMAN NUMERAL", "LIGATURE", "LEADER", "ELLIPSIS", "DIGRAPH", "LETTER DZ", "LETTER LJ", "LETTER NJ", "DOUBLE EXCLAMATION", "DOUBLE QUESTION", "QUESTION EXCLAMATION", "EXCLAMATION QUESTION", "MICRO SIGN")
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 _ROWS = [row.split() for row in SAME_SHAPE.split("\n") if row.strip()]
 #: sign -> {script: letter}; the sign of a shape is its first letter in order of SCRIPTS.
 SHAPES = {next(c for c in row if c != "."): {s: c for s, c in zip(SCRIPTS, row) if c != "."} for row in _ROWS}
-_SIGN = {c: sign for sign, forms in SHAPES.items() for c in forms.values()} | dict(x.split(":") for x in ALSO.split())
+_SIGN = {c: sign for sign, forms in SHAPES.items() for c in forms.values()} | {x[0]: x[2:] for x in (*ALSO.split(), *SIGNS.split())}
+_SIGN |= {c: sign for row in (LISU, CHEROKEE, COPTIC) for c, sign in zip(row, LATIN) if c != "."}
 _SCRIPT_OF = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in (*SCRIPTS, "Armenian", "Arabic", "Hebrew", "Han", "Hiragana", "Katakana", "Hangul", "Thai", "Devanagari")]
 LETTERS = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 PLAIN = regex.compile(r"[\x20-\x7e]*")
@@ -92,7 +102,7 @@ def _fold(c: str) -> str:
     if c < "\x80":
         return c
     d = unicodedata.decomposition(c)
-    if d.startswith(SAME_LOOK) or "ﬀ" <= c <= "ﬆ":
+    if d.startswith(SAME_LOOK) or (d.startswith("<compat>") and any(w in unicodedata.name(c, "") for w in COMPATIBLE)):
         return "".join(_fold(x) for x in unicodedata.normalize("NFKD", c))
     if d and not d.startswith("<"):
         return "".join(_fold(x) for x in unicodedata.normalize("NFD", c))
@@ -115,13 +125,24 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", text.translate(_FOLDS))
 
 
+@lru_cache(maxsize=None)
+def _script(c: str) -> str | None:
+    return next((s for s, p in _SCRIPT_OF if p.match(c)), None)
+
+
+@lru_cache(maxsize=200_000)
+def _mixed(token: str) -> bool:
+    """Whether the letters of a token, as written, are of several scripts."""
+    return len({s for c in token if (s := _script(c)) is not None}) > 1
+
+
 @lru_cache(maxsize=None)
 def scripts_of(sign: str) -> frozenset[str] | None:
     """The scripts in which a sign of the skeleton can be written; None: any (digits, accents, signs of no script)."""
     if sign in SHAPES:
         return frozenset(SHAPES[sign])
-    found = frozenset(s for s, p in _SCRIPT_OF if p.match(sign))
-    return found or None
+    s = _script(sign)
+    return None if s is None else frozenset((s,))
 
 
 def resolved_scripts(token: str) -> frozenset[str] | None:
@@ -158,27 +179,27 @@ def consistent(text: str) -> tuple[str, int, int]:
     order = sorted(SCRIPTS, key=lambda s: (-weight.get(s, 0), PREFERENCE[s]))
     whole = sum(1 for w in words if (s := _resolved(w)) is not None and len(s) > 1)
     # Mixed as written: no single script holds all letters of the token, though they may all have the shapes of one.
-    mixed = 0
-    for w in LETTERS.findall(unicodedata.normalize("NFC", "".join(c for c in text if _FOLDS[ord(c)] != ""))):
-        seen = {s for c in w for s, p in _SCRIPT_OF if p.match(c)}
-        mixed += len(seen) > 1
+    shown = unicodedata.normalize("NFC", "".join([c for c in text if _FOLDS[ord(c)] != ""]))
+    mixed = sum(map(_mixed, LETTERS.findall(shown)))
+    order = tuple(order)
+    return unicodedata.normalize("NFC", LETTERS.sub(lambda m: _written(m[0], order), look)), mixed, whole
 
-    def write(m):
-        w = m[0]
-        s = _resolved(w)
-        if s is None:
-            return w
-        if s:
-            return _spell(w, next((x for x in order if x in s), min(s)))
-        count: dict[str, int] = {}
-        for c in w:
-            if (k := scripts_of(c)) is not None and len(k) == 1:
-                (only,) = k
-                count[only] = count.get(only, 0) + 1
-        best = max(sorted(count, key=lambda x: PREFERENCE.get(x, 9)), key=lambda x: count[x]) if count else order[0]
-        return _spell(w, best)
 
-    return unicodedata.normalize("NFC", LETTERS.sub(write, look)), mixed, whole
+@lru_cache(maxsize=200_000)
+def _written(w: str, order: tuple[str, ...]) -> str:
+    """A skeleton token in its script: the first of the order that can write it, else that of most of its settled letters."""
+    s = _resolved(w)
+    if s is None:
+        return w
+    if s:
+        return _spell(w, next((x for x in order if x in s), min(s)))
+    count: dict[str, int] = {}
+    for c in w:
+        if (k := scripts_of(c)) is not None and len(k) == 1:
+            (only,) = k
+            count[only] = count.get(only, 0) + 1
+    best = max(sorted(count, key=lambda x: PREFERENCE.get(x, 9)), key=lambda x: count[x]) if count else order[0]
+    return _spell(w, best)
 
 
 @lru_cache(maxsize=200_000)
@@ -190,10 +211,15 @@ FORM = T.StructType([T.StructField("form", T.StringType()), T.StructField("mixed
 
 
 @F.pandas_udf(FORM)
-def consistent_form(text: pd.Series) -> pd.DataFrame:
-    """Column form of ``consistent``; null stays null."""
-    got = [(None, None, None) if t is None else consistent(t) for t in text]
-    return pd.DataFrame({"form": [g[0] for g in got], "mixed": pd.array([g[1] for g in got], "Int32"), "whole": pd.array([g[2] for g in got], "Int32")})
+def _consistent(text: pd.Series) -> pd.DataFrame:
+    codes, distinct = pd.factorize(text, use_na_sentinel=True)
+    got = [*map(consistent, distinct), (None, None, None)]  # nulls have the code -1
+    return pd.DataFrame([got[k] for k in codes], columns=["form", "mixed", "whole"]).astype({"mixed": "Int32", "whole": "Int32"})
+
+
+def consistent_form(text: Column) -> Column:
+    """Column form of ``consistent``; null stays null. Declared nondeterministic so that a filter on it does not make it run twice."""
+    return _consistent.asNondeterministic()(text)
 
 
 def consistent_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -201,30 +227,41 @@ def consistent_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.col(text).alias("text"), consistent_form(F.col(text)).alias("f")).select(*keys, "text", "f.*")
 
 
-def lookalike_pairs(df: DataFrame, within: list[str], ident: str, text: str) -> DataFrame:
-    """within..., id_a, id_b (id_a < id_b): rows with texts of one form that are not the same string.
+#: Rows of a class that meet all others of it in one task.
+ROWS = 2_000
+
+
+def lookalike_classes(df: DataFrame, within: list[str], ident: str, text: str) -> DataFrame:
+    """within..., id, text, class_id, n_rows, n_links: rows whose text has the look of another row's and is not the same string.
 
-    Equal strings are folded first: the form is computed once for each distinct string, pairs are made between distinct
-    strings of one form, and only those are expanded to their rows. So a third of all rows holding one text, or one
-    odd spelling, costs no more than the pairs there are. Null texts, and texts with nothing to see, are no case; repeated
-    rows (same id and text) count once.
+    One row for each (id, text); a class is all rows of one look that are written in several ways, class_id its smallest id. n_links
+    counts the rows of the class that are written differently. Null texts and ids, texts with nothing to see and rows with a null in
+    ``within`` are no case; repeated rows count once.
+
+    Copies fold in the partial aggregate before every shuffle. Whether a look has several spellings is known from the least and the
+    greatest hash of its strings, so no list of a class is gathered, and only rows of such classes go on.
     """
-    rows = df.select(*[F.col(k).alias(f"__w{i}") for i, k in enumerate(within)], F.col(ident).alias("__id"), F.col(text).alias("__t"))
     by = [f"__w{i}" for i in range(len(within))]
-    rows = rows.filter("__t is not null and __t != '' and __id is not null")
-    for b in by:
-        rows = rows.filter(F.col(b).isNotNull())
-    rows = rows.distinct()
-    # The forms are read by several branches below: written once, they are made once.
-    texts = rows.select(*by, "__t").distinct().repartition(parallelism(df.sparkSession), *by, "__t")
-    texts = materialize(texts.select(*by, "__t", consistent_form("__t")["form"].alias("__f")), "forms")
-    texts = texts.filter("trim(__f) != ''")
-    # Only forms with several spellings go on; counting is a partial aggregate, so copies cost nothing.
-    several = texts.groupBy(*by, F.xxhash64("__f").alias("__h")).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    texts = texts.withColumn("__h", F.xxhash64("__f")).join(several, [*by, "__h"], "left_semi")
-    a = texts.select(*by, "__h", "__f", F.col("__t").alias("__ta"))
-    b = texts.select(*by, "__h", F.col("__f").alias("__fb"), F.col("__t").alias("__tb"))
-    spellings = a.join(b, [*by, "__h"]).filter("__f = __fb and __ta < __tb").select(*by, "__ta", "__tb")
-    pairs = spellings.join(rows.select(*by, F.col("__t").alias("__ta"), F.col("__id").alias("__x")), [*by, "__ta"])
-    pairs = pairs.join(rows.select(*by, F.col("__t").alias("__tb"), F.col("__id").alias("__y")), [*by, "__tb"]).filter("__x != __y")
-    return pairs.select(*[F.col(b).alias(k) for b, k in zip(by, within)], F.least("__x", "__y").alias("id_a"), F.greatest("__x", "__y").alias("id_b"))
+    rows = df.select(*[F.col(k).alias(b) for b, k in zip(by, within)], F.col(ident).alias("id"), F.col(text).alias("text")).dropna().filter("text != ''").distinct()
+    rows = rows.withColumn("__form", consistent_form(F.col("text"))["form"]).filter("trim(__form) != ''")
+    # Read by two branches: written once, the forms are made once.
+    rows = materialize(rows.withColumn("__look", F.xxhash64("__form")).drop("__form").withColumn("__h", F.xxhash64("text")), "looks")
+    look = [*by, "__look"]
+    several = rows.groupBy(*look).agg(F.min("__h").alias("__lo"), F.max("__h").alias("__hi"), F.min("id").alias("class_id"), F.count("*").alias("n_rows")).filter("__lo != __hi").drop("__lo", "__hi")
+    out = rows.join(several, look)
+    same = out.groupBy(*look, "__h").agg(F.count("*").alias("__same"))
+    out = out.join(same, [*look, "__h"]).withColumn("n_links", F.col("n_rows") - F.col("__same"))
+    return out.select(*[F.col(b).alias(k) for b, k in zip(by, within)], "id", "text", "class_id", "n_rows", "n_links")
+
+
+def lookalike_pairs(df: DataFrame, within: list[str], ident: str, text: str) -> DataFrame:
+    """within..., id_a, id_b (id_a < id_b): the classes of ``lookalike_classes`` as pairs of rows that are not the same string.
+
+    A class of more than ROWS rows is cut into so many parts, each of which meets all of it in a task of its own, so one look with
+    many rows is no hot key.
+    """
+    rows = materialize(lookalike_classes(df, within, ident, text).select(*within, "id", "class_id", "n_rows", F.xxhash64("text").alias("__h")), "lookalikes")
+    parts = F.ceil(F.col("n_rows") / ROWS).cast("int")
+    a = rows.select(*within, "class_id", F.col("id").alias("id_a"), F.col("__h").alias("__ha"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("__part"))
+    b = rows.select(*within, "class_id", F.col("id").alias("id_b"), F.col("__h").alias("__hb"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
+    return a.join(b, [*within, "class_id", "__part"]).filter("id_a < id_b and __ha != __hb").select(*within, "id_a", "id_b")

@@ -124,7 +124,9 @@ def split_recordings(recording: DataFrame, timed_text: DataFrame, limit_s: float
     recs = recording.select("rec_id", F.size("audio.array").cast("bigint").alias("n_samples"), F.col("audio.sampling_rate").alias("rate"))
     recs = recs.filter(f"rec_id is not null and rate > 0 and n_samples > rate * {limit_s}")
     recs = recs.groupBy("rec_id").agg(F.max(F.struct("n_samples", "rate")).alias("r")).select("rec_id", "r.*")
-    both = recs.join(boundaries(timed_text), "rec_id", "left")
+    # Only texts of recordings that must be cut are gathered by recording.
+    texts = timed_text.select("rec_id", "start_time", "end_time").join(recs.select("rec_id"), "rec_id", "left_semi")
+    both = recs.join(boundaries(texts), "rec_id", "left")
     return both.select("rec_id", "n_samples", "rate", split.asNondeterministic()("n_samples", "rate", "cov", "points").alias("x")).select("rec_id", "n_samples", "rate", "x.*")
 
 

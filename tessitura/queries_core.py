@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessitura.operators.changefeed import standing_chunks
+from tessitura.operators.changefeed import standing_after_batches, standing_chunks
 from tessitura.operators.intervals import speaker_periods
 from tessitura.session import table
 
@@ -17,6 +18,12 @@ def p2_text(spark: SparkSession, sf: str) -> DataFrame:
     return standing_chunks(table(spark, sf, "output_chunk"))
 
 
+def p2_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a feed appended in three batches, over which repeated rows lie scattered."""
+    rows = table(spark, sf, "output_chunk").withColumn("__batch", F.monotonically_increasing_id() % 3)
+    return standing_after_batches([rows.filter(F.col("__batch") == k).drop("__batch") for k in (2, 0, 1)])
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return speaker_periods(table(spark, sf, "diarization_segment"))
 
@@ -45,5 +52,5 @@ union all
 select rec_id, speaker_idx, 'gap', l, s from (
   select *, lag(e) over (partition by rec_id, speaker_idx order by s) l from period) where l is not null"""
 
-QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found}
-ORACLE = {"p2_found": _STANDING.format("rec_id, seq"), "p2_text": _STANDING.format("rec_id, seq, uid, text"), "p3_found": _PERIODS}
+QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p2_batches": p2_batches, "p3_found": p3_found}
+ORACLE = {"p2_found": _STANDING.format("rec_id, seq"), "p2_text": _STANDING.format("rec_id, seq, uid, text"), "p2_batches": _STANDING.format("rec_id, seq, uid, text"), "p3_found": _PERIODS}

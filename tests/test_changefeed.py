@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from tessitura.operators.changefeed import ChangeTable, standing_chunks
+from tessitura.operators.changefeed import ChangeTable, standing_after_batches, standing_chunks
 
 SCHEMA = "rec_id bigint, seq bigint, uid string, op string, text string, is_finish boolean, put_ts timestamp, file string"
 
@@ -57,5 +57,24 @@ def test_batches_in_any_order_and_repeated(spark, tmp_path):
     assert sorted(tuple(r) for r in table.current().select("rec_id", "seq").collect()) == got
 
 
+def test_copies_in_several_batches(spark, tmp_path):
+    """Copies of a change that differ in arrival, op and text, over random batches: the least sequence number, then content, holds."""
+    rng = random.Random(8)
+    for turn in range(3):
+        rows = [r for r in feed(20 + turn, 120)]
+        rows += [(r[0], r[1], rng.choice([r[2], "9"]), rng.choice(["d", r[3]]), rng.choice(["z", r[4]]), r[5], rng.choice([at(rng.randrange(200)), r[6], None]), r[7]) for r in rng.choices(rows, k=80)]
+        rng.shuffle(rows)
+        whole = sorted((tuple(r) for r in standing_chunks(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+        batches = [spark.createDataFrame(rows[i::4], SCHEMA) for i in range(4)]
+        got = sorted((tuple(r) for r in standing_after_batches([*batches, batches[1]], str(tmp_path / f"t{turn}")).collect()), key=str)
+        assert got == whole
+
+
+def test_a_late_copy_does_not_kill_its_successor(spark, tmp_path):
+    one = lambda seq, text, n: spark.createDataFrame([(1, seq, "u", "insert", text, False, at(n), "")], SCHEMA)
+    got = standing_after_batches([one(5, "old", 10), one(6, "new", 11), one(5, "old", 12)], str(tmp_path / "t")).collect()
+    assert [r.text for r in got] == ["new"]
+
+
 def test_empty(spark):
     assert standing_chunks(spark.createDataFrame([], SCHEMA)).count() == 0

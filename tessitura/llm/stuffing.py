@@ -43,7 +43,7 @@ LISTED = regex.compile(LINK + r"|(?<![\w&/])[#@][\p{L}\p{N}_]+", regex.I)
 LISTED_MARKS = ("#", "@", "://", "www.", "](", "<a", "WWW.", "<A")
 #: Ends of sentences before a space within a line.
 SENTENCE = regex.compile(r"[.!?…。！？][\"'”»)]*\s+(?=\S)")
-ENDS, CLOSERS = frozenset(".!?…。！？"), "\"'”») \t\r\f\v"
+END_SIGNS, CLOSERS = tuple(".!?…。！？"), "\"'”») \t\r\f\v"
 CUE = regex.compile(r"^\s*(?:\d+|[\d:.,]+\s*-->\s*[\d:.,]+)\s*$")
 SPEECH = regex.compile(r"^\s*(?:[-–—•*>]+\s+|[\p{L}][\p{L}\p{M}\p{N} _.-]{0,30}\s?:\s+(?!https?://|www\.|<a\s|\[)|[\p{L}][\p{L}\p{M}\p{N} _]{0,30}\s[-–—]\s+)")
 ANSWER = regex.compile(r"^[^.!?…\n|/;,]{1,40}[.!?…]+\s*$|^\([^()\n]*\)\s*$")
@@ -52,8 +52,8 @@ ANSWER = regex.compile(r"^[^.!?…\n|/;,]{1,40}[.!?…]+\s*$|^\([^()\n]*\)\s*$")
 _WORD, _LETTER, _DIGIT, _JOIN, _SPACE, _BREAK, _POINT, _SIGN, _ALONE = 1, 2, 4, 8, 16, 32, 64, 128, 256
 #: Scripts written without spaces, as beginnings of the names of their characters: each character is a word.
 UNSPACED = ("CJK ", "HIRAGANA ", "KATAKANA ", "THAI ", "LAO ", "KHMER ", "MYANMAR ")
-#: Characters handled at once (some 100 MB of arrays); a longer page is handled alone.
-CHUNK = 1_000_000
+#: Characters handled at once (arrays that stay in a core's cache); a longer page is handled alone.
+CHUNK = 200_000
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -167,7 +167,8 @@ class _Units:
     """Lines, and the sentences in them, of a group of pages: offsets into the joined text."""
 
     def __init__(self):
-        self.start, self.end, self.line, self.head, self.ended, self.cue, self.page = [], [], [], [], [], [], []
+        #: start, end, line, head, ended, cue and page of each unit, one after the other.
+        self.flat: list[int] = []
         self.lines = 0
 
     def add_page(self, page: int, text: str, base: int) -> None:
@@ -178,19 +179,20 @@ class _Units:
             at += len(line) + 1
 
     def _line(self, page: int, line: str, at: int) -> None:
-        first = line.lstrip()[0]
+        first, start = line.lstrip()[0], line[:40]
         cue = first.isdigit() and CUE.match(line) is not None
         head = 0
-        if not cue and (":" in line[:40] or not first.isalnum() or any(d in line[:40] for d in (" - ", " – ", " — "))) and (m := SPEECH.match(line)):
+        if not cue and (":" in start or not first.isalnum() or " - " in start or " – " in start or " — " in start) and (m := SPEECH.match(line)):
             head = m.end()
-        x = 0
+        x, flat = 0, self.flat
         # A label of one who speaks, or a glossary's entry, goes with what follows.
-        for y in [*[m.end() for m in SENTENCE.finditer(line) if m.end() > head], len(line)]:
-            if y > x:
-                body = line[x:y].rstrip(CLOSERS)
-                self.start.append(at + x), self.end.append(at + y), self.line.append(self.lines), self.head.append(at + head)
-                self.ended.append(body[-1:] in ENDS and body != ""), self.cue.append(cue), self.page.append(page)
-            x = y
+        for m in SENTENCE.finditer(line):
+            y = m.end()
+            if y > head:
+                flat += (at + x, at + y, self.lines, at + head, True, cue, page)
+                x = y
+        if x < len(line):
+            flat += (at + x, at + len(line), self.lines, at + head, line.rstrip(CLOSERS)[-1:] in END_SIGNS, cue, page)
         self.lines += 1
 
 
@@ -234,16 +236,18 @@ def _shares(group: list[int], texts: list[str | None], out: list[float]) -> None
     digit = has(_DIGIT)
     number = digit | (has(_POINT) & _before(digit) & _after(digit))
     alone = has(_ALONE)
-    where = np.flatnonzero(token & (~_before(token) | alone | _before(alone)))
+    opens = token & (~_before(token) | alone | _before(alone))
+    where = np.flatnonzero(opens)
     n = len(where)
     if not n:
         return
     till = np.flatnonzero(token & (~_after(token) | alone | _after(alone))) + 1
     length = till - where
     # Prices and model numbers count as one: a run of digits is one sign.
-    keep = np.flatnonzero(token & ~(number & _before(number)))
-    owner = np.searchsorted(where, keep, "right") - 1
-    begins = np.searchsorted(owner, np.arange(n))
+    kept = token & ~(number & _before(number) & ~opens)
+    keep = np.flatnonzero(kept)
+    owner = np.cumsum(opens)[keep] - 1
+    begins = np.cumsum(kept)[where] - 1
     rank = np.arange(len(keep)) - begins[owner]
     sign = _scrambled(np.where(number[keep], ord("0"), _CHARACTERS.fold[codes[keep]]))
     step = np.full(int(rank.max()) + 1, 0xD1342543DE82EF95, np.uint64)
@@ -261,9 +265,9 @@ def _shares(group: list[int], texts: list[str | None], out: list[float]) -> None
     again = covered(longest)
 
     # Units as ranges of words.
-    a, b = np.array(units.start), np.array(units.end)
+    a, b, line, head, ended, cue, upage = np.array(units.flat).reshape(-1, 7).T
+    ended, cue = ended.astype(bool), cue.astype(bool)
     lo, hi = np.searchsorted(where, a), np.searchsorted(where, b)
-    ended, cue, upage = np.array(units.ended), np.array(units.cue), np.array(units.page)
     sums = lambda x: np.concatenate([[0], np.cumsum(x)])
     between = lambda s: s[hi] - s[lo]
     spoken = ~linked
@@ -279,8 +283,8 @@ def _shares(group: list[int], texts: list[str | None], out: list[float]) -> None
         step = np.full(int(size[rows].max()) + 1, 0xA0761D6478BD642F, np.uint64)
         key = np.add.reduceat(_scrambled(ids[lo[rows][every] + off]) * np.cumprod(step)[off], np.cumsum(size[rows]) - size[rows])
         key = key ^ _scrambled(upage[rows])
-        _, head, inverse = np.unique(key, return_index=True, return_inverse=True)
-        told[rows] = rows[head[inverse]]
+        _, earliest, inverse = np.unique(key, return_index=True, return_inverse=True)
+        told[rows] = rows[earliest[inverse]]
     once = np.ones(n, bool)
     for u in np.flatnonzero(told != np.arange(len(a))).tolist():
         once[lo[u] : hi[u]] = False
@@ -306,7 +310,7 @@ def _shares(group: list[int], texts: list[str | None], out: list[float]) -> None
     clause = (words >= np.where(ended, CLAUSE_WORDS, OPEN_WORDS) * np.maximum(links, 1)) & (driven <= (1 - FRESH_SHARE) * chars) & (doubled <= DOUBLED_SHARE * chars) & ~(listed & ~ended)
     # One that repeats itself a little goes with its neighbours: among keywords, and beside no sure clause, it is none.
     doubt = clause & (doubled > (1 - SURE_SHARE) * chars)
-    keywords = ~clause & ~cue & (words > 1) & (np.array(units.head) <= a) & (2 * between(sums(length * again)) >= between(sums(length)))
+    keywords = ~clause & ~cue & (words > 1) & (head <= a) & (2 * between(sums(length * again)) >= between(sums(length)))
     spot = np.flatnonzero(~cue)
     sure, driving, own = (clause & ~doubt)[spot], keywords[spot], upage[spot]
     beside = own[1:] == own[:-1]
@@ -317,7 +321,7 @@ def _shares(group: list[int], texts: list[str | None], out: list[float]) -> None
     clause[spot] &= ~doubt[spot] | supported | ~pressed
     clause = clause[told]
 
-    columns = [a, b, np.array(units.line), np.array(units.head), cue, clause, listed, size]
+    columns = [a, b, line, head, cue, clause, listed, size]
     columns += [between(sums(x)) for x in (figure, length * (again | linked), length, again, linked)]
     first = np.searchsorted(upage, np.arange(len(group) + 1))
     for k in np.unique(upage[~clause & ~cue]).tolist():

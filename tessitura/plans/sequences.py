@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tessitura.functions.multivariant import MultivariantError, parse, parse_multivariant, render, starting_part
 from tessitura.functions.sequences import argmax, chunk_bounds, ctc_collapse as collapse, fill_times, forced_alignment, merge_sentences, pack_by_space as pack, splice
 from tessitura.functions.tokenize import tokenize
-from tessitura.operators.fuzzy import edit_neighbours
+from tessitura.operators.fuzzy import edit_neighbours, grid
 from tessitura.operators.intervals import to_ms
 from tessitura.operators.windows import previous, running, trailing
 from tessitura.plans.common import SQL_TRUTH, sql_tokens, truth
@@ -342,7 +342,8 @@ def term_similarity_topk(spark: SparkSession, sf: str) -> DataFrame:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     p = p.withColumn("n", norm(F.col("v")))
     q = p.filter("hit % 100 = 0").select(F.col("hit").alias("query"), F.col("name").alias("qname"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    met = p.join(q, F.col("query") != F.col("hit"))
+    rows, asked = grid(p, q, "hit", "query")
+    met = rows.join(asked, "__cell").filter("query != hit")
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     score = F.round(0.6 * dot / (F.col("n") * F.col("qn")) + 0.4 * (1 - F.levenshtein("qname", "name") / F.greatest(F.length("qname"), F.length("name"))), 6)
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "hit")).cast("bigint")

@@ -1,3 +1,7 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessitura.operators import fuzzy
 from tessitura.functions.alignment import char_distance
 from tessitura.plans.joins import fuzzy_dict_match
 from tessitura.plans.sequences import EDITS, fuzzy_correct
@@ -19,3 +23,22 @@ def test_all_words_meet_all_words(spark, tmp_path):
             want[w] = found[0][::-1]
     assert {r.w: (r.correction, r.dist) for r in fuzzy_correct(spark, str(tmp_path)).collect()} == want
     assert want["rеd"] == ("red", 1) and want["azúre"] == ("azure", 1)
+
+
+def test_search_in_a_grid_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = {i: rng.integers(-2, 3, 4).astype(float).tolist() for i in range(90)} | {7: None, 8: [0.0] * 4}
+    df = spark.createDataFrame([(i, v, "x") for i, v in x.items()], "i bigint, v array<float>, hit string")
+    vectors = {i: np.array(v) for i, v in x.items() if v is not None and np.any(v)}
+    want = []
+    for q in (q for q in vectors if q % 5 == 0):
+        scored = sorted((-round(float(vectors[q] @ v / np.sqrt(vectors[q] @ vectors[q]) / np.sqrt(v @ v)), 6), i) for i, v in vectors.items() if i != q)
+        want += [(q, i, -s, k + 1) for k, (s, i) in enumerate(scored[:3])]
+    for rows, block in ((100, 100), (20, 3)):
+        plain = fuzzy.grid
+        monkeypatch.setattr(fuzzy, "grid", lambda a, b, k, q: plain(a, b, k, q, rows, block))
+        got = fuzzy.cosine_topk_blocks(df, "i", "v", F.col("i") % 5 == 0, 3)
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query, r.hit, r.score + 0.0, r.place) for r in got.collect()) == sorted((q, i, s + 0.0, k) for q, i, s, k in want)
+        monkeypatch.undo()
+    assert fuzzy.cosine_topk_blocks(df.limit(0), "i", "v", F.col("i") % 5 == 0, 3).count() == 0

@@ -9,6 +9,7 @@ order, and to the first option.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -32,15 +33,8 @@ ALIGNED = T.StructType([
 
 @lru_cache(maxsize=1 << 16)
 def char_distance(a: str, b: str) -> int:
-    """Unit-cost edit distance in characters."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    """Unit-cost edit distance in characters, by the bits of one number."""
+    return edit_errors(a, b)
 
 
 class Graph:
@@ -205,8 +199,8 @@ def aligned(truth: pd.Series, pred: pd.Series) -> pd.DataFrame:
 aligned = aligned.asNondeterministic()
 
 
-def edit_errors(truth: list[str], pred: list[str]) -> int:
-    """Fewest word errors between two lists of words, a column of the table at a time as bits of one number."""
+def edit_errors(truth: Sequence[str], pred: Sequence[str]) -> int:
+    """Fewest errors between two sequences, a column of the table at a time as bits of one number."""
     m = len(truth)
     if not m:
         return len(pred)
@@ -239,18 +233,29 @@ def word_errors(truth: Column, pred: Column) -> Column:
     return F.when(truth == pred, F.lit(0)).otherwise(_edit_errors(truth, pred))
 
 
-def word_errors_jvm(truth: Column, pred: Column) -> Column:
-    """The same as an expression of the JVM: cells are copied, so it is for short arrays where no Python may run."""
-    t, h = truth, pred
-    row0 = F.sequence(F.lit(0), F.size(t))
-
-    def line(row, w):
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(t)), F.array(F.get(row, F.lit(0)) + 1),
-            lambda acc, j: F.concat(acc, F.array(F.least(F.get(acc, j - 1) + 1, F.get(row, j) + 1, F.get(row, j - 1) + F.when(F.get(t, j - 1) == w, 0).otherwise(1)))),
-        )
-
-    return F.when(F.size(t) == 0, F.size(h)).when(F.size(h) == 0, F.size(t)).otherwise(F.get(F.aggregate(h, row0, line), F.size(t)))
+def positions(matches: list[dict], times: Sequence, processed: float) -> list[tuple[str, float, float]]:
+    """(status, start_time, end_time) of each match of an alignment with a timed truth; times by the number of the truth's word.
+
+    Missing words at the end are 'not_yet'. An insertion lies between the words of the truth around it, from 0 to what was processed.
+    """
+    head = len(matches)
+    while head and matches[head - 1]["status"] == "deletion":
+        head -= 1
+    span = lambda m: (times[m["true_uid"]]["start_time"], times[m["true_uid"]]["end_time"])
+    right, rights = processed, [0.0] * head
+    for i in range(head - 1, -1, -1):
+        rights[i] = right
+        if matches[i]["true_uid"] is not None:
+            right = min(right, span(matches[i])[0])
+    out, left = [], 0.0
+    for i, m in enumerate(matches):
+        if m["true_uid"] is None:
+            out.append((m["status"], left, rights[i]))
+            continue
+        s, e = span(m)
+        left = max(left, e)
+        out.append(("not_yet" if i >= head else m["status"], s, e))
+    return out
 
 
 def capped_errors(matches: Column, most: int = 4) -> Column:

@@ -58,37 +58,41 @@ def rechunk(chunks: DataFrame, by: Sequence[str], size: int, slot: int = 10_000)
     return c.select(*by, "piece", F.least(F.lit(size).cast("bigint"), F.col("__to") - F.col("piece") * size).alias("n"), "seq")
 
 
-def known_at(chunks: DataFrame, by: Sequence[str], step_us: int, slot: int = 600_000_000) -> DataFrame:
-    """by, tick, text: the joined text as known before each tick of ``step_us`` after a recording's first put.
+def known_after_each(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, state, seq, put_us, next_us, first_us, last_us, processed, text: the joined text as known after each chunk, in order of put_us, then seq.
 
-    chunks: by, seq, key, text, put_us. Each version of a chunk lies in the ticks from its put to that of the next version of
-    its key; a chunk keeps the place where it was first seen.
-    """
-    back = chunks.withColumns({"__t": -F.col("put_us"), "__i": -F.col("seq")})
-    v = previous(back, [*by, "key"], ["__t", "__i"], F.floor(F.col("__t") / slot), {"__next": "put_us"})
-    v = v.join(chunks.groupBy(*by, "key").agg(F.min("seq").alias("__first")), [*by, "key"])
-    ends = chunks.groupBy(*by).agg(F.min("put_us").alias("__a"), F.max("put_us").alias("__b"))
-    v = v.join(ends, list(by))
-    last_tick = F.ceil((F.col("__b") - F.col("__a")) / step_us)
-    lo = F.floor((F.col("put_us") - F.col("__a")) / step_us) + 1
-    hi = F.when(F.col("__next").isNull(), last_tick + 1).otherwise(F.floor((F.col("__next") - F.col("__a")) / step_us))
-    v = v.filter(hi >= lo).select(*by, "__first", "text", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("tick"))
-    parts = F.array_sort(F.collect_list(F.struct("__first", "text")))
-    return v.groupBy(*by, "tick").agg(parts.alias("p")).select(*by, "tick", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
-
-
-def error_positions(matches: DataFrame, by: Sequence[str], processed: Column) -> DataFrame:
-    """by, i, status, start_time, end_time, time_delta of every match of an alignment.
-
-    matches: by, i, status, s, e (the truth word's times). Missing words at the end are 'not_yet'; an insertion lies between
-    the words around it. time_delta is how long before ``processed`` the middle lies.
+    chunks: by, seq, key, text, put_us, done. A version of a key lives until the next version of it; a chunk keeps the place where its key
+    was first seen. processed is the last done that is not null, at first 0.
+
+    One shuffle by key serves all windows and the final grouping. A recording of n chunks has n texts, which grow with it: this is for
+    recordings, whose length is bounded; streams without an end are followed by ``news``.
     """
-    fwd = W.partitionBy(*by).orderBy("i")
-    back = W.partitionBy(*by).orderBy(F.desc("i"))
-    m = matches.withColumn("__p", processed).withColumn("__tail", F.min(F.col("status") == "deletion").over(back.rowsBetween(W.unboundedPreceding, 0)))
-    head = ~F.col("__tail")
-    left = F.greatest(F.lit(0.0), F.max(F.when(head, F.col("e"))).over(fwd.rowsBetween(W.unboundedPreceding, -1)))
-    right = F.least(F.col("__p"), F.min(F.when(head, F.col("s"))).over(fwd.rowsBetween(1, W.unboundedFollowing)))
-    ins = F.col("status") == "insertion"
-    m = m.select(*by, "i", F.when(F.col("__tail"), "not_yet").otherwise(F.col("status")).alias("status"), F.when(ins, left).otherwise(F.col("s")).alias("start_time"), F.when(ins, right).otherwise(F.col("e")).alias("end_time"), "__p")
-    return m.select(*by, "i", "status", "start_time", "end_time", (F.col("__p") - (F.col("start_time") + F.col("end_time")) / 2).alias("time_delta"))
+    order = W.partitionBy(*by).orderBy("put_us", "seq")
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy(*by)
+    c = chunks.withColumns({
+        "state": F.row_number().over(order), "next_us": F.lead("put_us").over(order), "processed": F.coalesce(F.last("done", ignorenulls=True).over(upto), F.lit(0.0)),
+        "__n": F.count(F.lit(1)).over(whole), "first_us": F.min("put_us").over(whole), "last_us": F.max("put_us").over(whole),
+    })
+    own = W.partitionBy(*by, "key")
+    c = c.withColumns({"__until": F.coalesce(F.lead("state").over(own.orderBy("state")) - 1, F.col("__n")), "__first": F.min("seq").over(own)})
+    at = F.when(F.col("__i") == F.col("state"), F.struct("seq", "put_us", "next_us", "first_us", "last_us", "processed"))
+    lives = c.select("*", F.explode(F.sequence(F.col("state"), F.col("__until").cast("int"))).alias("__i"))
+    g = lives.groupBy(*by, "__i").agg(F.array_sort(F.collect_list(F.struct("__first", "text"))).alias("__p"), F.first(at, ignorenulls=True).alias("__a"))
+    return g.select(*by, F.col("__i").alias("state"), "__a.*", F.array_join(F.transform("__p", lambda x: x["text"]), " ").alias("text"))
+
+
+def state_ticks(step_us: int) -> Column:
+    """Array of the ticks (of ``step_us`` after a recording's first put) before which a state of ``known_after_each`` was the last."""
+    lo = F.floor((F.col("put_us") - F.col("first_us")) / step_us) + 1
+    end = F.ceil((F.col("last_us") - F.col("first_us")) / step_us) + 1
+    hi = F.when(F.col("next_us").isNull(), end).otherwise(F.floor((F.col("next_us") - F.col("first_us")) / step_us))
+    return F.when(hi >= lo, F.sequence(lo.cast("bigint"), hi.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def news(chunks: DataFrame, by: Sequence[str], step_us: int) -> DataFrame:
+    """by, tick, n, text: what was put within each tick, in order; for streams of any length, since only a tick's own chunks are gathered."""
+    start = chunks.groupBy(*by).agg(F.min("put_us").alias("__a"))
+    c = chunks.join(start, list(by)).withColumn("tick", F.floor((F.col("put_us") - F.col("__a")) / step_us) + 1)
+    g = c.groupBy(*by, "tick").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("put_us", "seq", "text"))).alias("__p"))
+    return g.select(*by, "tick", "n", F.array_join(F.transform("__p", lambda x: x["text"]), " ").alias("text"))

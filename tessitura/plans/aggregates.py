@@ -49,8 +49,8 @@ EDGES = [round(i * 10 / 30, 2) for i in range(31)] + [1000.0]
 edge as (select unnest({EDGES[:-1]}) as lo, unnest({EDGES[1:]}) as hi)
 select lo, hi, count(x) as n, sum((seq % 5 = 0)::int) as marked, sum((seq % 5 = 0)::int) / count(x) as share
 from edge left join d on x >= lo and (x < hi or (hi = 1000.0 and x <= hi)) group by 1, 2""")
-def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    """Delays by fixed edges: the bin is found by comparing with 32 literals, then counted by a partial aggregate; an empty bin has no share."""
+def delay_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Delays from put to get by fixed edges: the bin is found by comparing with 32 literals, then counted by a partial aggregate; an empty bin has no share."""
     x = (micros("get_ts") - micros("put_ts")) / 1e6
     d = _out(spark, sf).filter("get_ts is not null").select(x.alias("x"), "seq").filter(F.col("x").between(0, EDGES[-1]))
     edges = F.array(*[F.lit(e) for e in EDGES[:-1]])
@@ -223,7 +223,7 @@ _TEXTS = """ch as (select rec_id, seq, uid, text, put_ts, coalesce(uid, '#' || c
 
 def _chunks(spark, sf):
     c = table(spark, sf, "output_chunk").filter("rec_id is not null and seq is not null and not coalesce(is_finish, false) and text is not null")
-    c = c.groupBy("rec_id", "seq").agg(F.min(F.struct("put_ts", "text", "uid")).alias("m")).select("rec_id", "seq", "m.*")
+    c = c.groupBy("rec_id", "seq").agg(F.min(F.struct("put_ts", "text", "uid", F.col("seconds_processed").alias("done"))).alias("m")).select("rec_id", "seq", "m.*")
     return c.withColumn("k", F.coalesce("uid", F.concat(F.lit("#"), F.col("seq").cast("string"))))
 
 

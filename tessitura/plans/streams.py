@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessitura.functions.alignment import ALIGNED, align
+from tessitura.functions.alignment import ALIGNED, align, positions
 from tessitura.functions.multivariant import parse, starting_part
 from tessitura.functions.tokenize import tokenize
 from tessitura.operators.asof import micros
-from tessitura.operators.replay import error_positions as positions, known_at, rechunk as cut_anew, remap_times, send_cutoffs
+from tessitura.operators.replay import known_after_each, news, rechunk as cut_anew, remap_times, send_cutoffs, state_ticks
 from tessitura.operators.windows import previous, running
-from tessitura.plans.aggregates import _TEXTS, WEEK_US, _chunks
+from tessitura.plans.aggregates import _TEXTS, EDGES, WEEK_US, _chunks
 from tessitura.plans.common import timed_truths, truth
 from tessitura.plans.joins import _OUT, _out
 from tessitura.session import parallelism, table
@@ -115,75 +115,103 @@ f as (select rec_id, k, min(seq) as first from c group by 1, 2),
 known as (select v.rec_id, v.tick, string_agg(v.text, ' ' order by f.first) as text from v join f using (rec_id, k) group by 1, 2)"""
 
 
-def _known(spark, sf, step_us=5_000_000):
-    """What was known of each recording that has a truth, every five seconds or at another step."""
-    c = _chunks(spark, sf).join(truth(spark, sf).select("rec_id").distinct(), "rec_id", "left_semi")
-    return known_at(c.select("rec_id", "seq", F.col("k").alias("key"), "text", micros("put_ts").alias("put_us")).filter("put_us is not null"), ["rec_id"], step_us)
+def _put(spark, sf):
+    c = _chunks(spark, sf)
+    return c.select("rec_id", "seq", F.col("k").alias("key"), "text", micros("put_ts").alias("put_us"), "done").filter("put_us is not null")
+
+
+def _states(spark, sf):
+    """What was known after each chunk of each recording that has a truth; the others have nothing to be aligned with, see known_news."""
+    return known_after_each(_put(spark, sf).join(truth(spark, sf).select("rec_id").distinct(), "rec_id", "left_semi"), ["rec_id"])
 
 
 @query(f"with {_KNOWN} select rec_id, tick, text from known")
 def known_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return _known(spark, sf)
+    """The text known of each recording that has a truth, every five seconds."""
+    return _states(spark, sf).select("rec_id", F.explode(state_ticks(5_000_000)).alias("tick"), "text")
+
+
+@query(f"""with {_TEXTS}, c as (select *, epoch_us(put_ts) as us from ch where put_ts is not null), e as (select rec_id, min(us) as a from c group by 1)
+select rec_id, (us - a) // 5000000 + 1 as tick, count(*) as n, string_agg(text, ' ' order by us, seq) as text from c join e using (rec_id) group by 1, 2""")
+def known_news(spark: SparkSession, sf: str) -> DataFrame:
+    """What became known in each five seconds of every stream, those without a truth or an end included."""
+    return news(_put(spark, sf), ["rec_id"], 5_000_000)
 
 
 #: Seconds between two partial alignments.
 STEP = 0.25
 
 
-_FIELDS = [f.name for f in ALIGNED.fields]
-_COUNTS = [f.name for f in ALIGNED.fields[:4]]
+_DOUBLES = T.ArrayType(T.DoubleType())
+_COUNTS = T.StructType(ALIGNED.fields[:4])
+_PLACED = T.StructType([T.StructField("status", T.ArrayType(T.StringType())), T.StructField("start_time", _DOUBLES), T.StructField("end_time", _DOUBLES)])
 
 
-def _align_said(fields: list[str], text: pd.Series, times: pd.Series, at: pd.Series, pred: pd.Series) -> pd.DataFrame:
-    """Alignments of hypotheses' words with what of timed truths was said by a time, in the fields asked for."""
-    rows = []
-    for t, spans, x, p in zip(text, times, at, pred):
-        if spans is None:
-            rows.append([None] * len(fields))
+def _said(texts: pd.Series, starts: pd.Series, ends: pd.Series, at: pd.Series, preds: pd.Series):
+    """For each row the alignment of a hypothesis' words with what of a timed truth was said by a time, and the times of the truth's words; None for an unreadable truth."""
+    blocks, last, times = [], None, []
+    for t, s, e, x, p in zip(texts, starts, ends, at, preds):
+        if s is None:
+            yield None
             continue
-        blocks = parse(t)
-        for w in (w for b in blocks for o in b["options"] for w in o):
-            w |= spans[w["uid"]]
-        a = align(starting_part(blocks, x), list(p))
-        rows.append([a.get(f) for f in fields])
-    return pd.DataFrame(rows, columns=fields)
+        if t != last:  # states of a recording come one after the other
+            blocks, last, times = parse(t), t, [{"start_time": a, "end_time": b} for a, b in zip(s.tolist(), e.tolist())]
+            for w in (w for b in blocks for o in b["options"] for w in o):
+                w |= times[w["uid"]]
+        yield align(starting_part(blocks, x), list(p)), times
 
 
-@F.pandas_udf(ALIGNED)
-def _said(text: pd.Series, times: pd.Series, at: pd.Series, pred: pd.Series) -> pd.DataFrame:
-    return _align_said(_FIELDS, text, times, at, pred)
+@F.pandas_udf(_COUNTS)
+def _counted(text: pd.Series, start: pd.Series, end: pd.Series, at: pd.Series, pred: pd.Series) -> pd.DataFrame:
+    rows = [[None] * 4 if r is None else [r[0][c] for c in _COUNTS.names] for r in _said(text, start, end, at, pred)]
+    return pd.DataFrame(rows, columns=_COUNTS.names).astype("Int32")
 
 
-@F.pandas_udf(T.StructType(ALIGNED.fields[:4]))
-def _said_counts(text: pd.Series, times: pd.Series, at: pd.Series, pred: pd.Series) -> pd.DataFrame:
-    """Without the matches, which for many ticks are more than a worker's memory."""
-    return _align_said(_COUNTS, text, times, at, pred).astype("Int32")
+@F.pandas_udf(_PLACED)
+def _placed(text: pd.Series, start: pd.Series, end: pd.Series, at: pd.Series, pred: pd.Series) -> pd.DataFrame:
+    rows = [[None] * 3 if r is None else [list(c) for c in zip(*positions(r[0]["matches"], r[1], x))] or [[], [], []] for r, x in zip(_said(text, start, end, at, pred), at)]
+    return pd.DataFrame(rows, columns=_PLACED.names)
 
 
-@query(None)
-def partial_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """What was known at each tick of 0.25 s against the part of the truth that had been said by then: word errors and length, for timed truths.
+#: States of one recording that are aligned one after the other.
+RUN = 16
+
 
-    Ticks between which no word began or ended and no text changed have one alignment, which is made once.
+def partial_alignments(spark: SparkSession, sf: str, what) -> DataFrame:
+    """The states of known_after_each with a: what a function tells of the alignment of what was known after each chunk with what of the timed truth had been processed by then.
+
+    One alignment for each chunk, however many ticks it lasts. Aligning is heavy for its size, so the rows are spread over all cores, in
+    short runs of neighbouring states.
     """
-    at = F.col("tick") * STEP
-    passed = lambda before: F.size(F.filter("times", before))
-    j = _known(spark, sf, int(STEP * 1e6)).join(timed_truths(spark, sf), "rec_id")
-    j = j.withColumns({"begun": passed(lambda w: w["start_time"] < at), "ended": passed(lambda w: w["end_time"] <= at)})
-    j = j.groupBy("rec_id", "truth", "text", "begun", "ended").agg(F.collect_list("tick").alias("ticks"), F.min("tick").alias("tick"))
-    j = j.join(timed_truths(spark, sf), ["rec_id", "truth"]).repartition(parallelism(spark), "rec_id", "tick")
-    a = j.select("rec_id", "ticks", _said_counts("truth", "times", at, tokenize(F.col("text"))).alias("a"))
-    return a.select("rec_id", F.explode("ticks").alias("tick"), "a.n_word_errors", "a.true_len", "a.n_correct")
+    t = timed_truths(spark, sf).select("rec_id", "truth", "times.start_time", "times.end_time")
+    j = _states(spark, sf).join(t, "rec_id").repartition(parallelism(spark), "rec_id", F.floor(F.col("state") / RUN)).sortWithinPartitions("rec_id", "state")
+    return j.select("rec_id", "seq", "put_us", "next_us", "first_us", "last_us", "processed", what.asNondeterministic()("truth", "start_time", "end_time", "processed", tokenize(F.col("text"))).alias("a"))
+
+
+@query(None)
+def partial_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """At each tick of 0.25 s the alignment of the last state before it: word errors, length and correct words, for timed truths."""
+    return partial_alignments(spark, sf, _counted).select("rec_id", "seq", "processed", F.explode(state_ticks(int(STEP * 1e6))).alias("tick"), "a.n_word_errors", "a.true_len", "a.n_correct")
 
 
 @query(None)
 def error_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Where the errors of each final text lie in time, and how long before the end."""
-    known = _known(spark, sf, int(STEP * 1e6))
-    final = known.groupBy("rec_id").agg(F.max(F.struct("tick", "text")).alias("k")).select("rec_id", "k.*")
-    j = final.join(timed_truths(spark, sf), "rec_id").repartition(parallelism(spark), "rec_id")
-    a = j.select("rec_id", "tick", "times", _said("truth", "times", F.col("tick") * STEP, tokenize(F.col("text"))).alias("a"))
-    m = a.select("rec_id", "tick", "times", F.posexplode("a.matches").alias("i", "m"))
-    word = F.get("times", F.col("m.true_uid"))
-    m = m.select("rec_id", "tick", "i", F.col("m.status").alias("status"), word["start_time"].alias("s"), word["end_time"].alias("e"))
-    return positions(m, ["rec_id"], F.col("tick") * STEP).select("rec_id", "i", "status", "start_time", "end_time", "time_delta")
+    """Where the matches of every partial alignment lie in time, and how long before what was processed."""
+    m = partial_alignments(spark, sf, _placed).select("rec_id", "seq", "processed", F.posexplode(F.arrays_zip("a.status", "a.start_time", "a.end_time")).alias("i", "p"))
+    return m.select("rec_id", "seq", "i", "p.*", (F.col("processed") - (F.col("p.start_time") + F.col("p.end_time")) / 2).alias("time_delta"))
+
+
+@query(None)
+def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all words of all partial alignments, by how long they were processed before: the shares that were right, wrong and not there yet.
+
+    The last edge belongs to its bin; what lies outside is dropped; an empty bin has no shares.
+    """
+    kind = F.when(F.col("status").isin("correct", "not_yet"), F.col("status")).otherwise("error")
+    d = error_positions(spark, sf).select(kind.alias("kind"), "time_delta").filter(F.col("time_delta").between(0, EDGES[-1]))
+    edges = F.array(*[F.lit(e) for e in EDGES[:-1]])
+    d = d.withColumn("lo", F.array_max(F.filter(edges, lambda e: e <= F.col("time_delta"))))
+    n = [F.sum((F.col("kind") == k).cast("bigint")).alias(k) for k in ("correct", "error", "not_yet")]
+    bins = spark.createDataFrame(list(zip(EDGES[:-1], EDGES[1:])), "lo double, hi double")
+    b = bins.join(d.groupBy("lo").agg(F.count("*").alias("n"), *n), "lo", "left").select("lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), "correct", "error", "not_yet")
+    return b.select("lo", "hi", "n", *[F.try_divide(k, F.col("n")).alias(k) for k in ("correct", "error", "not_yet")])

@@ -74,9 +74,14 @@ def forced_alignment(logp: np.ndarray, tokens: list[int], blank: int) -> list[tu
     return spans
 
 
+#: Signs of currency that may stand before or behind an amount.
+CURRENCIES = ("$", "€", "¥", "£", "₽", "₹")
+
+
 def propagate_times(known: list[tuple[str, float, float]], words: list[str]) -> list[tuple[float, float]]:
     """Times of an option's words from those of a timed option: equal head and tail words share theirs; of what is left, one
-    word's time is split evenly over several, or one word takes the span of several. Raises ValueError where that says nothing."""
+    word's time is split evenly over several, or one word takes the span of several, or a sign of currency changes its place.
+    Raises ValueError where that says nothing, as where words stand against none."""
     if words and not known:
         raise ValueError("no times to take over")
     head = 0
@@ -88,34 +93,87 @@ def propagate_times(known: list[tuple[str, float, float]], words: list[str]) ->
     a, b = known[head : len(known) - tail], words[head : len(words) - tail]
     if not b:
         middle = []
+    elif not a:
+        raise ValueError("words without a counterpart")
     elif len(a) == 1:
         step = (a[0][2] - a[0][1]) / len(b)
         middle = [(a[0][1] + i * step, a[0][1] + (i + 1) * step) for i in range(len(b))]
-    elif len(b) == 1 and a:
+    elif len(b) == 1:
         middle = [(a[0][1], a[-1][2])]
-    elif not a and (head or tail):
-        # Words that only this option has lie where its neighbours meet.
-        at = known[head - 1][2] if head else known[len(known) - tail][1]
-        middle = [(at, at)] * len(b)
+    elif len(a) == len(b) and b[0] in CURRENCIES and a[-1][0] == b[0]:
+        middle = [(s, e) for _, s, e in a[:-1]]
+        middle.insert(0, middle[0])
     else:
         raise ValueError("more than one word on both sides")
     return [(s, e) for _, s, e in known[:head]] + middle + [(s, e) for _, s, e in known[len(known) - tail :]]
 
 
-def fill_times(blocks: list[dict], times: list[tuple[float, float]]) -> list[dict]:
-    """Times for all tokens of a multivariant truth, given those of its baseline: the longest option of each block."""
-    it, out = iter(times), []
+def baseline_option(block: dict) -> int:
+    """The option that a truth is timed by: the longest, a single word before as long a one of several."""
     length = lambda o: len(" ".join(t["value"] for t in o)) + 0.5 * (len(o) == 1)
+    return max(range(len(block["options"])), key=lambda i: (length(block["options"][i]), -i))
+
+
+def baseline_words(blocks: list[dict]) -> list[dict]:
+    """The words that a truth is timed by, in order; a wildcard has no sound of its own. Raises ValueError for one among the options of a block."""
+    for b in blocks:
+        if b["is_mv"] and any(t["is_any"] for o in b["options"] for t in o):
+            raise ValueError("a wildcard among variants")
+    return [t for b in blocks for t in b["options"][baseline_option(b)] if not t["is_any"]]
+
+
+def _time_options(options: list[list[dict]], base: int, spans: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """Times of all options from one: first to options of as many words, then to the others, from any that has its times already."""
+    done: dict[int, list[tuple[float, float]]] = {base: spans} | {i: [] for i, o in enumerate(options) if not o}
+    for same_length in (True, False):
+        found = True
+        while found:
+            found = False
+            for i in [i for i in done if options[i]]:
+                for j in (j for j in range(len(options)) if j not in done):
+                    if same_length and len(options[i]) != len(options[j]):
+                        continue
+                    try:
+                        known = [(t["value"], *x) for t, x in zip(options[i], done[i])]
+                        done[j] = propagate_times(known, [t["value"] for t in options[j]])
+                    except ValueError:
+                        continue
+                    found = True
+                    break
+                if found:
+                    break
+    if len(done) < len(options):
+        raise ValueError("no times for " + " ".join(t["value"] for t in next(o for i, o in enumerate(options) if i not in done)))
+    return [done[i] for i in range(len(options))]
+
+
+def fill_times(blocks: list[dict], times: list[tuple[float, float]], finish: float | None = None) -> list[dict]:
+    """Times for all tokens of a multivariant truth, given those of ``baseline_words``.
+
+    A wildcard takes all time between its neighbours, from 0 and to ``finish`` (else the last time known) at the ends. Raises ValueError
+    where an option cannot be timed, or two wildcards stand side by side.
+    """
+    words = baseline_words(blocks)
+    if len(words) != len(times):
+        raise ValueError(f"{len(times)} times for {len(words)} words")
+    it, out = iter(times), []
+    finish = (times[-1][1] if times else 0.0) if finish is None else finish
     for b in blocks:
-        base = max(range(len(b["options"])), key=lambda i: (length(b["options"][i]), -i))
-        known = [(t["value"], *next(it)) for t in b["options"][base]]
-        options = []
-        for o in b["options"]:
-            spans = propagate_times(known, [t["value"] for t in o])
-            options.append([t | {"start_time": s, "end_time": e} for t, (s, e) in zip(o, spans)])
-        out.append(b | {"options": options})
-    if next(it, None) is not None:
-        raise ValueError("more times than words of the baseline")
+        if not b["is_mv"] and b["options"][0][0]["is_any"]:
+            out.append(b)
+            continue
+        base = baseline_option(b)
+        spans = _time_options(b["options"], base, [next(it) for _ in b["options"][base]])
+        out.append(b | {"options": [[t | {"start_time": s, "end_time": e} for t, (s, e) in zip(o, x)] for o, x in zip(b["options"], spans)]})
+    edge = lambda b, pick, key: pick((t[key] for o in b["options"] for t in o if key in t), default=None)
+    for i, b in enumerate(out):
+        if b["is_mv"] or not b["options"][0][0]["is_any"]:
+            continue
+        left = edge(out[i - 1], max, "end_time") if i else 0.0
+        right = edge(out[i + 1], min, "start_time") if i + 1 < len(out) else finish
+        if left is None or right is None or (i and not out[i - 1]["is_mv"] and out[i - 1]["options"][0][0]["is_any"]):
+            raise ValueError("a wildcard without neighbours")
+        out[i] = b | {"options": [[b["options"][0][0] | {"start_time": left, "end_time": right}]]}
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessitura.functions.multivariant import MultivariantError, parse, parse_multivariant, render, starting_part
-from tessitura.functions.sequences import argmax, chunk_bounds, ctc_collapse as collapse, fill_times, forced_alignment, merge_sentences, pack_by_space as pack, splice
+from tessitura.functions.sequences import argmax, baseline_words, chunk_bounds, ctc_collapse as collapse, fill_times, forced_alignment, merge_sentences, pack_by_space as pack, splice
 from tessitura.functions.tokenize import tokenize
 from tessitura.operators.fuzzy import edit_neighbours, grid
 from tessitura.operators.intervals import to_ms
@@ -187,8 +187,7 @@ def forced_align(spark: SparkSession, sf: str) -> DataFrame:
     def run(frames: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
         if frames.empty or text.empty:
             return pd.DataFrame(columns=["label", "token", "sym", "first", "last"])
-        x = np.stack(frames.sort_values("vec_id")["embedding"].to_numpy()).astype(np.float64)
-        logp = x - np.log(np.exp(x).sum(1, keepdims=True))
+        logp = _log_probabilities(frames)
         tokens = [int(c) for c in text["tokens"].iloc[0]]
         try:
             rows = forced_alignment(logp, tokens, 0)
@@ -196,48 +195,73 @@ def forced_align(spark: SparkSession, sf: str) -> DataFrame:
             rows = [(k, None, None) for k in range(len(tokens))]
         return pd.DataFrame({"label": frames["label"].iloc[0], "token": [k for k, _, _ in rows], "sym": [tokens[k] for k, _, _ in rows], "first": [a for _, a, _ in rows], "last": [b for _, _, b in rows]}).astype({"first": "Int32", "last": "Int32"})
 
-    e = table(spark, sf, "embeddings").filter("embedding is not null and label is not null").select("label", "vec_id", "embedding")
-    t = truth(spark, sf).groupBy("rec_id").agg(F.min("text").alias("text")).select(F.row_number().over(W.orderBy("rec_id")).alias("place"), F.transform(tokenize(F.col("text")), lambda w: (1 + (31 * F.length(w) + F.ascii(w)) % 63).cast("int")).alias("tokens"))
-    t = e.select("label").distinct().withColumn("place", F.row_number().over(W.orderBy("label"))).join(t, "place").select(F.col("label").alias("of"), "tokens")
+    e, t = _frames_and_truths(spark, sf)
+    t = t.select("of", F.transform(tokenize(F.col("text")), lambda w: (1 + (31 * F.length(w) + F.ascii(w)) % 63).cast("int")).alias("tokens"))
     return e.groupBy("label").cogroup(t.groupBy("of")).applyInPandas(run, schema)
 
 
-_TIMED = T.StructType([T.StructField("words", T.IntegerType()), T.StructField("start_time", T.DoubleType()), T.StructField("end_time", T.DoubleType()), T.StructField("cut", T.StringType()), T.StructField("error", T.StringType())])
+def _frames_and_truths(spark, sf):
+    """Frames of all labels, and the truth paired with each: of, rec_id, text."""
+    e = table(spark, sf, "embeddings").filter("embedding is not null and label is not null").select("label", "vec_id", "embedding")
+    t = truth(spark, sf).groupBy("rec_id").agg(F.min("text").alias("text")).select(F.row_number().over(W.orderBy("rec_id")).alias("place"), "rec_id", "text")
+    return e, e.select("label").distinct().withColumn("place", F.row_number().over(W.orderBy("label"))).join(t, "place").select(F.col("label").alias("of"), "rec_id", "text")
+
+
+def _log_probabilities(frames: pd.DataFrame) -> np.ndarray:
+    x = np.stack(frames.sort_values("vec_id")["embedding"].to_numpy()).astype(np.float64)
+    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+
+_CUT = T.StructType([T.StructField("cut", T.StringType()), T.StructField("error", T.StringType())])
 
 
-@F.pandas_udf(_TIMED)
-def _filled(text: pd.Series, seconds: pd.Series, at: pd.Series) -> pd.DataFrame:
-    """Times spread evenly over the baseline, propagated to all options; the truth cut at a time."""
+@F.pandas_udf(_CUT)
+def _said_by(text: pd.Series, seconds: pd.Series, at: pd.Series) -> pd.DataFrame:
+    """The truth cut at a time, its baseline spread evenly."""
     rows = []
     for t, n, x in zip(text, seconds, at):
         try:
             blocks = parse(t)
-            size = lambda o: len(" ".join(k["value"] for k in o)) + 0.5 * (len(o) == 1)
-            count = sum(len(max(b["options"], key=size)) for b in blocks)
+            count = len(baseline_words(blocks))
             step = n / max(count, 1)
-            timed = fill_times(blocks, [(i * step, (i + 1) * step) for i in range(count)])
-            tokens = [k for b in timed for o in b["options"] for k in o]
-            rows.append((len(tokens), min((k["start_time"] for k in tokens), default=None), max((k["end_time"] for k in tokens), default=None), render(starting_part(timed, x)), None))
+            rows.append((render(starting_part(fill_times(blocks, [(i * step, (i + 1) * step) for i in range(count)], n), x)), None))
         except (ValueError, MultivariantError) as e:
-            rows.append((None, None, None, None, str(e)))
-    return pd.DataFrame(rows, columns=["words", "start_time", "end_time", "cut", "error"])
+            rows.append((None, str(e)))
+    return pd.DataFrame(rows, columns=["cut", "error"])
 
 
-def _timed_truth(spark, sf):
-    return truth(spark, sf).join(_lengths(spark, sf), "rec_id").select("rec_id", _filled("text", F.col("ms") / 1000, F.col("ms") / 2000).alias("x"))
+@query(None)
+def fill_timings(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of all words of a truth, variants and wildcards included, by forced alignment of its baseline with frames, 25 a second; or why there are none.
 
+    Labels' frames and truths are paired in the order of their numbers, as in forced_align. A label's frames lie in one task, since each
+    frame of the best path depends on all others: at 25 a second an hour has 90,000.
+    """
+    schema = "label int, rec_id bigint, uid int, word string, start_time double, end_time double, error string"
 
-@query(f"""with {SQL_TRUTH}, {_LEN}, w as (select rec_id, len(list_filter({sql_tokens('text')}, lambda x: x <> '|')) as words, ms from truth join rec using (rec_id))
-select rec_id, words, case when words > 0 then 0.0 end as start_time, case when words > 0 then round(ms / 1000, 6) end as end_time from w""")
-def fill_timings(spark: SparkSession, sf: str) -> DataFrame:
-    """How many words got times, from the first to the last: all words of all options, over the whole recording."""
-    return _timed_truth(spark, sf).select("rec_id", F.col("x.words").cast("bigint").alias("words"), F.round("x.start_time", 6).alias("start_time"), F.round("x.end_time", 6).alias("end_time"))
+    def run(frames: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(frames) and len(text):
+            label, rec, t = int(frames["label"].iloc[0]), int(text["rec_id"].iloc[0]), text["text"].iloc[0]
+            try:
+                blocks = parse(t)
+                words = baseline_words(blocks)
+                spans = forced_alignment(_log_probabilities(frames), [1 + (31 * len(w["value"]) + ord(w["value"][0])) % 63 for w in words], 0)
+                timed = fill_times(blocks, [(a / 25, b / 25) for _, a, b in spans], len(frames) / 25)
+                rows = [(label, rec, w["uid"], w["value"], w["start_time"], w["end_time"], None) for b in timed for o in b["options"] for w in o]
+            except (ValueError, MultivariantError) as e:
+                rows = [(label, rec, None, None, None, None, str(e))]
+        return pd.DataFrame(rows, columns=["label", "rec_id", "uid", "word", "start_time", "end_time", "error"]).astype({"uid": "Int32", "start_time": "float64", "end_time": "float64"})
+
+    e, t = _frames_and_truths(spark, sf)
+    return e.groupBy("label").cogroup(t.groupBy("of")).applyInPandas(run, schema)
 
 
 @query(None)
 def prefix_cut(spark: SparkSession, sf: str) -> DataFrame:
     """Each truth as far as it is said by the middle of its recording."""
-    return _timed_truth(spark, sf).select("rec_id", "x.cut", "x.error")
+    t = truth(spark, sf).join(_lengths(spark, sf), "rec_id")
+    return t.select("rec_id", _said_by.asNondeterministic()("text", F.col("ms") / 1000, F.col("ms") / 2000).alias("x")).select("rec_id", "x.cut", "x.error")
 
 
 @query(f"""with {SQL_TRUTH}, b as (select rec_id, unnest(regexp_extract_all(text, '\\{{[^{{}}]*\\}}')) as block from truth), d as (select distinct block from b),

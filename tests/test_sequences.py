@@ -59,11 +59,19 @@ def test_times():
     assert propagate_times([("a", 0, 1), ("b", 1, 3)], ["a", "x", "y"]) == [(0, 1), (1, 2), (2, 3)]
     assert propagate_times([("a", 0, 1), ("b", 1, 3), ("c", 3, 4)], ["x", "c"]) == [(0, 3), (3, 4)]
     assert propagate_times([("a", 0, 1)], []) == []
-    for bad in (([], ["x"]), ([("a", 0, 1), ("b", 1, 2)], ["x", "y"])):
+    assert propagate_times([("100", 0, 1), ("000", 1, 2), ("$", 2, 3)], ["$", "100", "000"]) == [(0, 1), (0, 1), (1, 2)]
+    for bad in (([], ["x"]), ([("a", 0, 1), ("b", 1, 2)], ["x", "y"]), ([("a", 0, 1), ("b", 1, 2)], ["a", "x", "b"]), ([("a", 0, 1)], ["a", "x"])):
         with pytest.raises(ValueError):
             propagate_times(*bad)
     filled = fill_times(parse("w {longest|a b|}"), [(0, 1), (1, 3)])
     assert [[(t["start_time"], t["end_time"]) for t in o] for o in filled[1]["options"]] == [[(1, 3)], [(1, 2), (2, 3)], []]
+    times = lambda text, known, finish=None: [[[(t["start_time"], t["end_time"]) for t in o] for o in b["options"]] for b in fill_times(parse(text), known, finish)]
+    # "p q" has no counterpart in the longest option; the option of one word in between has.
+    assert times("{seventy five|75|p q}", [(0, 2), (2, 4)]) == [[[(0, 2), (2, 4)], [(0, 4)], [(0, 2), (2, 4)]]]
+    assert times("<*> a <*> {b|} <*>", [(1, 2), (5, 6)], 9) == [[[(0.0, 1)]], [[(1, 2)]], [[(2, 5)]], [[(5, 6)], []], [[(6, 9)]]]
+    for text, known in (("a {b|<*>}", [(0, 1), (1, 2)]), ("<*> <*> a", [(0, 1)]), ("a b", [(0, 1)]), ("{a b c|x y}", [(0, 1), (1, 2), (2, 3)])):
+        with pytest.raises(ValueError):
+            times(text, known)
 
 
 def test_text(spark):

@@ -13,7 +13,7 @@ from tessitura.operators.intervals import to_ms
 from tessitura.plans.common import SQL_PREDICTIONS, SQL_TRUTH, predictions, sql_tokens, timed_truths, truth
 from tessitura.plans.joins import _OUT, _out
 from tessitura.operators.windows import previous, running, trailing
-from tessitura.session import table
+from tessitura.session import materialize, table
 
 #: Slots of time in which long sequences are swept: a week of events, ten minutes of a stream.
 WEEK_US, STREAM_US = 7 * 86_400_000_000, 600_000_000
@@ -141,8 +141,10 @@ def rare_terms(spark: SparkSession, sf: str) -> DataFrame:
 def word_zipf(spark: SparkSession, sf: str) -> DataFrame:
     """Zipf frequency of every word of the corpus; the total is one row that joins each count."""
     c = _doc_words(spark, sf).groupBy("w").agg(F.count("*").alias("n"))
-    total = table(spark, sf, "documents").agg(F.sum(F.size(tokenize(F.col("text")))).alias("total"))
-    return c.join(F.broadcast(total)).select("w", "n", F.round(F.log10(F.col("n") / F.col("total") * 1e9), 6).alias("zipf"))
+    # Read by two branches: written once, the corpus is cut into words once.
+    c = materialize(c, "word-counts")
+    total = c.agg(F.sum("n").alias("total")).scalar()
+    return c.select("w", "n", F.round(F.log10(F.col("n") / total * 1e9), 6).alias("zipf"))
 
 
 @query(f"""with {SQL_TRUTH}, spoken as (select distinct unnest({sql_tokens("text")}) as w from truth), {_TERMS.replace("w as", "dw as")}, c as (select w, count(*) as n from dw group by 1)

@@ -47,9 +47,9 @@ def project_rename(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select split_name, rec_id, sample_idx from (select distinct rec_id, split_name, sample_idx from recording) where split_name in ('test', 'train', 'validation')")
 def union_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Splits of one table are its rows of three names: one scan, where the names are pushed down."""
     rec = table(spark, sf, "recording").select("split_name", "rec_id", "sample_idx")
-    test, train, validation = (rec.filter(F.col("split_name") == s).distinct() for s in ("test", "train", "validation"))
-    return test.unionByName(train).unionByName(validation)
+    return rec.filter(F.col("split_name").isin("test", "train", "validation")).distinct()
 
 
 @query(f"with {SQL_TRUTH} select rec_id, dataset_name, sample_idx from truth order by dataset_name nulls first, sample_idx nulls first, rec_id limit 50")
@@ -94,6 +94,22 @@ def timed_text_join(spark: SparkSession, sf: str) -> DataFrame:
     return seg.groupBy("rec_id").agg(parts.alias("s")).select("rec_id", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"))
 
 
+@query("""
+with seg as (select distinct rec_id, seg_id, start_time, text from timed_text where text is not null),
+timed as (select rec_id, string_agg(text, ' ' order by start_time, seg_id) as text from seg group by 1),
+plain as (select rec_id, min(transcription) as text from recording where rec_id is not null group by 1)
+select p.rec_id, case when t.rec_id is null then 'transcription' else 'timed_transcription' end as type, case when t.rec_id is null then p.text else t.text end as text
+from plain p left join timed t using (rec_id)""")
+def result_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of a result of either type: timed results are their segments joined, in order of time, the others their output."""
+    seg = table(spark, sf, "timed_text").filter("text is not null").select("rec_id", "seg_id", "start_time", "text").distinct()
+    timed = seg.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("start_time", "seg_id", "text"))).alias("segments"))
+    r = table(spark, sf, "recording").filter("rec_id is not null").groupBy("rec_id").agg(F.min("transcription").alias("output")).join(timed, "rec_id", "left")
+    r = r.withColumn("type", F.when(F.col("segments").isNull(), "transcription").otherwise("timed_transcription"))
+    text = F.when(F.col("type") == "timed_transcription", F.array_join(F.transform("segments", lambda s: s["text"]), " ")).otherwise(F.col("output"))
+    return r.select("rec_id", "type", text.alias("text"))
+
+
 @query("""
 select distinct rec_id, cast(len(audio.array) as double) / audio.sampling_rate as seconds from recording
 where audio.sampling_rate > 0 and cast(len(audio.array) as double) / audio.sampling_rate <= 60""")

@@ -5,7 +5,6 @@ Models are outside: a pipeline is any function of audio or text. Instances are m
 
 from __future__ import annotations
 
-from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,40 +15,18 @@ from pyspark.sql import types as T
 
 from tessitura.functions.alignment import aligned, capped_errors
 from tessitura.functions.sequences import chunk_bounds
-from tessitura.sources.registry import pending
+from tessitura.plans.models import CTC, ContextualTranscriber, Corrector, LongformCTC, LongformVAD, OfflineToStreaming, Segmenter, StreamingToOffline, StreamingTranscriber, TimedTranscriber, Transcriber, stream
+from tessitura.sources.registry import pending, read_prediction_tree
+
+__all__ = [
+    "CTC", "ContextualTranscriber", "Corrector", "LongformCTC", "LongformVAD", "OfflineToStreaming", "Segmenter", "StreamingToOffline", "StreamingTranscriber", "TimedTranscriber", "Transcriber",
+    "corrected", "evaluate", "evaluate_tree", "get_pipeline", "longform_pieces", "metrics", "register_pipeline", "run_pipeline", "run_shards", "run_streaming",
+]
 
 SAMPLE = ("dataset_name", "sample_idx")
 SEGMENTS = "array<struct<start_time:double,end_time:double,text:string>>"
 
 
-class Transcriber(ABC):
-    """Audio to text."""
-
-    @abstractmethod
-    def transcribe(self, samples: np.ndarray, rate: int) -> str: ...
-
-
-class TimedTranscriber(ABC):
-    """Audio to (start, end, text) segments, in seconds."""
-
-    @abstractmethod
-    def transcribe_timed(self, samples: np.ndarray, rate: int) -> list[tuple[float, float, str]]: ...
-
-
-class ContextualTranscriber(ABC):
-    """Audio to text, given what was said before."""
-
-    @abstractmethod
-    def transcribe_after(self, samples: np.ndarray, rate: int, history: str) -> str: ...
-
-
-class Corrector(ABC):
-    """Text to better text."""
-
-    @abstractmethod
-    def correct(self, text: str) -> str: ...
-
-
 _PIPELINES: dict[str, Callable[[], object]] = {}
 
 
@@ -102,6 +79,57 @@ def run_pipeline(samples: DataFrame, name: str, done: DataFrame | None = None, m
     return todo.mapInPandas(run, f"pipeline string, dataset_name string, sample_idx int, type string, text string, segments {SEGMENTS}")
 
 
+def run_streaming(samples: DataFrame, name: str, make: Callable[[], StreamingTranscriber] | None = None, chunk_s: float = 1.0) -> DataFrame:
+    """pipeline, dataset_name, sample_idx, seq, uid, text, is_finish, seconds_processed, error: the changes a streaming model tells of each sample, in order.
+
+    Each recording has a model of its own and its own order of chunks. An error ends its recording with one row that tells it, and no other:
+    what the model had told before stays, and nothing follows. Samples without audio give FINISH alone.
+    """
+    make = make or get_pipeline(name)
+    todo = samples.select(*SAMPLE, F.col("audio.array").alias("samples"), F.col("audio.sampling_rate").alias("rate"))
+    fields = ["seq", "uid", "text", "is_finish", "seconds_processed", "error"]
+
+    def one(x, rate) -> Iterator[tuple]:
+        seq, at = 0, 0.0
+        try:
+            empty = x is None or rate is None or rate != rate
+            for at, end, changes in [(0.0, True, [])] if empty else stream(make(), np.asarray(x), int(rate), chunk_s):
+                for uid, text in changes:
+                    yield seq, uid, text, False, at, None
+                    seq += 1
+                if end:
+                    yield seq, None, None, True, at, None
+        except Exception as e:
+            yield seq, None, None, False, at, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(name, d, i, *r) for d, i, x, rate in zip(batch["dataset_name"], batch["sample_idx"], batch["samples"], batch["rate"]) for r in one(x, rate)]
+            yield pd.DataFrame(rows, columns=["pipeline", *SAMPLE, *fields])
+
+    return todo.mapInPandas(run, "pipeline string, dataset_name string, sample_idx int, seq bigint, uid string, text string, is_finish boolean, seconds_processed double, error string")
+
+
+def run_shards(df: DataFrame, key: str, shards: int, out: str, work: Callable[[DataFrame], DataFrame]) -> list[int]:
+    """Writes work(part) for each of so many parts of df (by a hash of key) under out/shard=k; parts that are there are not made again.
+
+    A part is written beside and takes its name when it is whole, so a run that was cut off goes on where it stopped. Returns the parts made.
+    """
+    spark = df.sparkSession
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = []
+    for k in range(shards):
+        final, part = f"{out}/shard={k}", f"{out}/_part-{k}"
+        if files.exists(path(final)):
+            continue
+        work(df.filter(F.pmod(F.xxhash64(key), F.lit(shards)) == k)).write.mode("overwrite").parquet(part)
+        if not files.rename(path(part), path(final)):
+            raise OSError(f"{part} could not be renamed")
+        made.append(k)
+    return made
+
+
 def corrected(text: Column, make: Callable[[], Corrector]) -> Column:
     """A text column through a corrector."""
 
@@ -124,6 +152,22 @@ def evaluate(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     return both.select("pipeline", *SAMPLE, "truth", "text", aligned("truth", "text").alias("a"))
 
 
+def evaluate_tree(truths: DataFrame, root: str, cache: str) -> DataFrame:
+    """``evaluate`` over a tree of results (pipeline/dataset/idx/transcription.json), kept in a table at ``cache``: only results that are not in it yet are aligned.
+
+    The whole table comes back, those of earlier calls included, in partitions of pipeline and dataset.
+    """
+    spark = truths.sparkSession
+    found = read_prediction_tree(spark, root)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    schema = evaluate(found, truths).schema
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    if there:
+        found = pending(found, spark.read.schema(schema).parquet(cache), ["pipeline", *SAMPLE])
+    evaluate(found, truths).write.mode("append").partitionBy("pipeline", "dataset_name").parquet(cache)
+    return spark.read.schema(schema).parquet(cache)
+
+
 def metrics(evaluated: DataFrame, common: bool = True, max_insertions: int | None = None) -> DataFrame:
     """dataset_name, pipeline, samples, n_errors, n_words, wer, macro_wer, char_errors; with common, over the samples that all of a dataset's pipelines have."""
     rows = evaluated.filter("a.error is null and a.true_len is not null")

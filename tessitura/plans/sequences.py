@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from tessitura.functions.multivariant import MultivariantError, parse, parse_multivariant, render, starting_part
 from tessitura.functions.sequences import argmax, baseline_words, chunk_bounds, ctc_collapse as collapse, fill_times, forced_alignment, merge_sentences, pack_by_space as pack, splice
 from tessitura.functions.tokenize import tokenize
+from tessitura.operators.corrector import EDITS, correct_texts, domain_words, substitute, without_titles, word_corrections, zipf
 from tessitura.operators.fuzzy import edit_neighbours, grid
 from tessitura.operators.intervals import to_ms
 from tessitura.operators.windows import previous, running, trailing
-from tessitura.plans.common import SQL_TRUTH, sql_tokens, truth
+from tessitura.plans.common import SQL_TRUTH, sql_distance, sql_tokens, truth
 from tessitura.plans.joins import _WORDS, said_and_dictionary
-from tessitura.session import table
+from tessitura.session import materialize, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -308,10 +309,6 @@ def sentence_merge(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("rec_id", F.length(F.array_join("parts", " ")).cast("bigint").alias("chars"), "parts")
 
 
-#: Edits allowed by the length of a word; beyond the list it is the last.
-EDITS = (0, 0, 0, 1, 1, 1, 2, 2, 2, 3)
-
-
 @query(f"""with {_WORDS}, lim as (select unnest(range(0, 10)) as n, unnest({list(EDITS)}) as k),
 near as (select w, d, dist from apart, lim where lim.n = least(length(w), 9) and dist <= lim.k),
 best as (select w, min(dist) as dist from near group by 1)
@@ -392,3 +389,75 @@ def clean_markup(spark: SparkSession, sf: str) -> DataFrame:
     for pattern, by in (("<a [^>]*>([^<]*)</a>", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), ("[*_#`]+", ""), ("[ \t]+", " ")):
         text = F.regexp_replace(text, pattern, by)
     return table(spark, sf, "documents").select("doc_id", F.trim(text).alias("text"))
+
+
+def _frequency(spark, sf):
+    """w, n, zipf of every word of the documents."""
+    c = materialize(table(spark, sf, "documents").select(F.explode(tokenize(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+    return c.select("w", "n", zipf(F.col("n"), c.agg(F.sum("n").alias("t")).scalar()).alias("zipf"))
+
+
+_SEGMENTED = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+')"
+_DOMAIN = f"""freq as (select w, n, log10(n / (sum(n) over ()) * 1e9) as zipf from (select w, count(*) as n from (select unnest({sql_tokens("text")}) as w from documents) group by 1)),
+dom0 as (select distinct unnest([lower(w), replace(lower(w), 'ё', 'е')]) as w from (select unnest({sql_tokens("p_name")}) as w from part)),
+dom as (select w from dom0 where w not in (select w from freq where zipf >= 6))"""
+
+
+@query(f"with {_DOMAIN} select w from dom")
+def rare_domain_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the dictionary of parts, as far as they are rare in the documents."""
+    words = table(spark, sf, "part").select(F.explode(tokenize(F.col("p_name"))).alias("w"))
+    return domain_words(words, _frequency(spark, sf), 6.0)
+
+
+@query(f"""with {SQL_TRUTH}, {_DOMAIN}, r as (select distinct rec_id, text from truth), seg as (select rec_id, unnest({_SEGMENTED}) as x, unnest(range(0, len({_SEGMENTED}))) as i from r),
+lim as (select unnest(range(0, 10)) as n, unnest({list(EDITS)}) as k),
+said as (select distinct x as w, replace(lower(x), 'ё', 'е') as lemma from seg, lim where regexp_matches(x, '^[\\p{{L}}\\p{{N}}_]') and n = least(length(x), 9) and k > 0),
+odd as (select * from said where lemma not in (select w from freq where zipf > 1)),
+apart as (select lemma, d.w as entry, {sql_distance("lemma", "d.w")} as dist from (select distinct lemma from odd), dom d where abs(length(lemma) - length(d.w)) <= 3),
+best as (select lemma, min(dist) as dist from apart group by 1),
+one as (select lemma, any_value(entry) as entry, dist from apart join best using (lemma, dist) group by 1, 3 having count(*) = 1),
+fix as (select w, case when w[1] <> lower(w[1]) then upper(entry[1]) || lower(entry[2:]) else entry end as c from odd join one using (lemma), lim where n = least(length(w), 9) and dist <= k and entry <> lemma)
+select rec_id, string_agg(coalesce(c, x), '' order by i) as text from seg left join fix on x = w group by 1""")
+def corrected_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The recordings' texts, words unknown to the documents corrected by the dictionary of parts."""
+    t = truth(spark, sf).select("rec_id", "text")
+    words = t.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w"))
+    frequency = _frequency(spark, sf)
+    domain = domain_words(table(spark, sf, "part").select(F.explode(tokenize(F.col("p_name"))).alias("w")), frequency, 6.0)
+    return correct_texts(t, "rec_id", "text", word_corrections(words, domain, frequency)).filter("text != ''")
+
+
+@query(f"""with {_DOMAIN}, p as (select p_partkey, unnest({sql_tokens("p_name")}) as w from part)
+select p_partkey, case when bool_or(n is null) then 0.0 else round(log10(1e9 / sum(t / n)), 6) end as zipf from p left join freq using (w), (select sum(n) as t from freq) group by 1""")
+def phrase_zipf(spark: SparkSession, sf: str) -> DataFrame:
+    """How frequent a name of several words is: 1 / f is the sum of its words' 1 / f; 0 if a word is unknown."""
+    f = _frequency(spark, sf)
+    p = table(spark, sf, "part").select("p_partkey", F.explode(tokenize(F.col("p_name"))).alias("w")).join(f, "w", "left")
+    whole = F.log10(F.lit(1e9) / F.sum(F.pow(F.lit(10.0), 9 - F.col("zipf"))))
+    return p.groupBy("p_partkey").agg(F.when(F.bool_or(F.col("n").isNull()), 0.0).otherwise(F.round(whole, 6)).alias("zipf"))
+
+
+#: Phrases and what is accepted for them; some hold others.
+PHRASES = {"word lattice": "{word lattice|lattice}", "lattice": "{lattice|word lattice}", "pause detector": "{pause detector|detector}", "detector": "{detector|pause finder}", "forty two": "{forty two|42}", "two": "{two|2}"}
+
+
+def _sql_phrases(text: str) -> str:
+    keys = sorted(PHRASES, key=lambda k: (-len(k), k))
+    for i, k in enumerate(keys):
+        text = f"replace({text}, '{k}', chr(57344) || '{i}' || chr(57345))"
+    for i, k in enumerate(keys):
+        text = f"replace({text}, chr(57344) || '{i}' || chr(57345), '{PHRASES[k]}')"
+    return text
+
+
+@query(f"with {SQL_TRUTH} select distinct rec_id, {_sql_phrases('text')} as text from truth")
+def mv_substitute(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases of the truths put by the variants that are accepted for them."""
+    return truth(spark, sf).select("rec_id", substitute(F.col("text"), PHRASES).alias("text")).distinct()
+
+
+@query("select doc_id, url from documents where not coalesce(contains(lower(url), 'shop-') or contains(lower(url), 'tags-'), false)")
+def title_exclusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of all sites but those of shops and tags."""
+    return without_titles(table(spark, sf, "documents").select("doc_id", "url"), "url", ["Shop-", "tags-"])

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessitura.operators import fuzzy
+from tessitura.operators.corrector import correct_texts, domain_words, substitute, word_corrections
 from tessitura.functions.alignment import char_distance
 from tessitura.plans.joins import fuzzy_dict_match
 from tessitura.plans.sequences import EDITS, fuzzy_correct
@@ -42,3 +43,26 @@ def test_search_in_a_grid_of_cells(spark, monkeypatch):
         assert sorted((r.query, r.hit, r.score + 0.0, r.place) for r in got.collect()) == sorted((q, i, s + 0.0, k) for q, i, s, k in want)
         monkeypatch.undo()
     assert fuzzy.cosine_topk_blocks(df.limit(0), "i", "v", F.col("i") % 5 == 0, 3).count() == 0
+
+
+def test_corrections_with_lemmas_forms_and_capitals(spark):
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "w string")
+    frequency = spark.createDataFrame([("table", 5.0), ("rare", 0.5)], "w string, zipf double")
+    lemmas = spark.createDataFrame([("tokenzs", "tokenz"), ("gone", None)], "form string, value string")
+    domain = words("token", "lattice", "lattise", "ёлка", "table")
+    got = lambda **o: {r.w: r.correction for r in word_corrections(words("Tokenz", "tokenzs", "latticc", "tables", "ab", "елко", "TOKEN", "rare", "table"), domain, frequency, **o).collect()}
+    # 'latticc' is as near to lattice as 'lattise' is far: one edit against two; 'tables' is itself unknown and next to table.
+    assert got() == {"Tokenz": "Token", "latticc": "lattice", "tables": "table", "елко": "ёлка", "tokenzs": "token"}
+    inflect = spark.createDataFrame([("token", "tokenzs", "tokens")], "lemma string, like string, value string")
+    assert got(lemmas=lemmas, inflect=inflect) == {"tokenzs": "tokens"}
+    assert sorted(r.w for r in domain_words(words("Ёлка", "Table", "runs"), frequency, 2.0, spark.createDataFrame([("runs", "run")], "form string, value string")).collect()) == ["run", "runs", "елка", "ёлка"]
+    assert sorted(r.w for r in domain_words(words("runs", None), frequency, 2.0, spark.createDataFrame([("runs", "run")], "form string, value string"), "replace").collect()) == ["run"]
+    texts = spark.createDataFrame([(1, "Tokenz, tokenz - latticc!"), (2, None), (3, ""), (1, "Tokenz, tokenz - latticc!")], "i bigint, t string")
+    fixed = {r.i: r.t for r in correct_texts(texts, "i", "t", spark.createDataFrame([("Tokenz", "Token"), ("latticc", "lattice")], "w string, correction string")).collect()}
+    assert fixed == {1: "Token, tokenz - lattice!", 2: None, 3: ""}
+
+
+def test_phrases_are_put_in_once(spark):
+    df = spark.createDataFrame([("two word lattice two",), (None,), ("",)], "t string")
+    got = [r.x for r in df.select(substitute(F.col("t"), {"lattice": "{a}", "word lattice": "{lattice two}", "two": "2"}).alias("x")).collect()]
+    assert got == ["2 {lattice two} 2", None, ""]

@@ -24,14 +24,15 @@ LIST = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField
 
 
 def merge_flat(group: np.ndarray, s: np.ndarray, e: np.ndarray, closed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge many lists at once: arrays of (group, start, end) in any order -> the same, sorted and disjoint per group.
+    """Merge many lists at once: arrays of (group, start, end) -> the same, sorted and disjoint per group.
 
-    closed: intervals that only touch are joined too. The stable sort is linear on lists that are sorted runs.
+    closed: intervals that only touch are joined too. Linear for lists that come in order, as the tree hands them on; others are sorted first.
     """
     if len(s) == 0:
         return group, s, e
-    order = np.lexsort((s, group))
-    group, s, e = group[order], s[order], e[order]
+    if not bool(np.all((group[1:] > group[:-1]) | ((group[1:] == group[:-1]) & (s[1:] >= s[:-1])))):
+        order = np.lexsort((s, group))
+        group, s, e = group[order], s[order], e[order]
     low, width = int(min(s.min(), e.min())), int(max(s.max(), e.max()) - min(s.min(), e.min())) + 2
     _, rank = np.unique(group, return_inverse=True)
     if width * (int(rank[-1]) + 1) < 2**62:
@@ -86,9 +87,11 @@ def interval_nodes(df: DataFrame, keys: Sequence[str], start: str, end: str, *,
     rows = rows.dropna().filter("__e > __s")
     rows = rows.groupBy(*by, "__s").agg(F.max("__e").alias("__e"))
     slot = F.floor(F.col("__s") / F.lit(leaf)).cast("bigint")
-    leaves = rows.groupBy(*by, slot.alias("__leaf")).agg(F.collect_list(F.struct(F.col("__s").alias("s"), F.col("__e").alias("e"))).alias("__iv"))
-    leaves = leaves.select(*by, F.floor(F.col("__leaf") / F.lit(fan_in)).cast("bigint").alias("__node"), merged(F.col("__iv"), closed).alias("__iv"))
-    nodes = leaves.groupBy(*by, "__node").agg(F.flatten(F.collect_list("__iv")).alias("__iv"))
+    leaves = rows.groupBy(*by, slot.alias("__leaf")).agg(F.array_sort(F.collect_list(F.struct(F.col("__s").alias("s"), F.col("__e").alias("e")))).alias("__iv"))
+    leaves = leaves.select(*by, "__leaf", F.floor(F.col("__leaf") / F.lit(fan_in)).cast("bigint").alias("__node"), merged(F.col("__iv"), closed).alias("__iv"))
+    # Lists of neighbouring leaves one after the other are in order of their starts: the merge is linear.
+    nodes = leaves.groupBy(*by, "__node").agg(F.array_sort(F.collect_list(F.struct("__leaf", "__iv"))).alias("__l"))
+    nodes = nodes.select(*by, "__node", F.flatten(F.transform("__l", lambda x: x["__iv"])).alias("__iv"))
     return nodes.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], "__node", merged(F.col("__iv"), closed).alias("__iv"))
 
 

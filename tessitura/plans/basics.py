@@ -163,25 +163,41 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", normalize(F.col("text")).alias("text"))
 
 
-@query(f"with {SQL_TRUTH} select rec_id, unnest(regexp_extract_all(text, '\\{{[^{{}}]*\\}}')) as block from truth")
+def _sql_pieces(what: str) -> str:
+    """Readable truths cut into matches of a pattern and single characters, with the place of each."""
+    return f"""{SQL_TRUTH}, ok as (select distinct rec_id, text from truth where not regexp_matches(regexp_replace(text, '\\{{[^{{}}]*\\}}', chr(1), 'g'), '[{{}}]|[^\\s\\p{{Z}}]\\x01|\\x01[^\\s\\p{{Z}}]')),
+cut as (select rec_id, regexp_extract_all(text, {quoted(what + "|(?s:.)")}) as p from ok),
+piece as (select rec_id, unnest(p) as x, unnest(range(0, len(p))) as i from cut),
+placed as (select rec_id, i, x, sum(length(x)) over (partition by rec_id order by i) as b from piece)"""
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return truth(spark, sf).select("rec_id", "text").distinct().select("rec_id", "text", parse_multivariant("text").alias("p")).filter("p.error is null")
+
+
+@query(f"with {_sql_pieces(r'\{[^{}]*\}')} select rec_id, cast(b - length(x) as integer) as pos_start, cast(b as integer) as pos_end, x as block from placed where length(x) > 1")
 def mv_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return truth(spark, sf).select("rec_id", F.explode(F.regexp_extract_all("text", F.lit(r"\{[^{}]*\}"), F.lit(0))).alias("block"))
+    """The blocks of variants that the parser finds, cut from the text at the places it tells."""
+    b = _parsed(spark, sf).select("rec_id", "text", F.explode(F.filter("p.blocks", lambda b: b["is_mv"])).alias("b"))
+    return b.select("rec_id", "b.pos_start", "b.pos_end", F.expr("substring(text, b.pos_start + 1, b.pos_end - b.pos_start)").alias("block"))
 
 
-@query(f"""with {SQL_TRUTH}, b as (select rec_id, unnest(regexp_extract_all(text, '\\{{[^{{}}]*\\}}')) as block from truth)
-select rec_id, count(*) as n_blocks, sum(len(string_split(block, '|'))) as n_options from b group by 1""")
+@query(f"""with {_sql_pieces(r'\{[^{}]*\}')}, o as (select rec_id, i, trim(unnest(string_split(x[2:-2], '|'))) as o from placed where length(x) > 1),
+n as (select rec_id, i, sum(case when regexp_full_match(o, '[\\p{{L}}\\p{{N}}_]\\+') then 4 when regexp_full_match(o, '[\\p{{L}}\\p{{N}}_]+<[\\p{{L}}\\p{{N}}_]+>') then 3 else 1 end) as n from o group by 1, 2)
+select rec_id, count(*) as n_blocks, cast(sum(greatest(n, 2)) as bigint) as n_options from n group by 1""")
 def mv_option_counts(spark: SparkSession, sf: str) -> DataFrame:
-    b = mv_blocks(spark, sf)
-    return b.groupBy("rec_id").agg(F.count("*").alias("n_blocks"), F.sum(F.size(F.split("block", r"\|"))).alias("n_options"))
+    """Blocks of each truth and the options they stand for: what is written short expanded, and a single option with its absence."""
+    mv = F.filter("p.blocks", lambda b: b["is_mv"])
+    n = F.aggregate(mv, F.lit(0).cast("bigint"), lambda s, b: s + F.size(b["options"]))
+    return _parsed(spark, sf).select("rec_id", F.size(mv).cast("bigint").alias("n_blocks"), n.alias("n_options")).filter("n_blocks > 0")
 
 
-@query(f"with {SQL_TRUTH}, w as (select rec_id, unnest({sql_tokens('text')}) as token from truth) select rec_id, token as value, count(*) as n from w where token <> '|' group by all")
+@query(f"""with {_sql_pieces(pattern())}, k as (select * from placed where x <> '|' and regexp_full_match(x, {quoted(pattern())}))
+select rec_id, cast(row_number() over (partition by rec_id order by i) - 1 as integer) as uid, translate(lower(x), 'ёЁ', 'еЕ') as value, cast(b - length(x) as integer) as start_pos, cast(b as integer) as end_pos from k""")
 def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens cut from the text by the kernel's offsets, put in lower case: the same words as the tokenizer's own."""
-    t = truth(spark, sf).select("rec_id", "text", parse_multivariant("text").alias("p")).filter("p.error is null")
-    tokens = t.select("rec_id", "text", F.explode(F.flatten(F.flatten(F.transform("p.blocks", lambda b: b["options"])))).alias("k"))
-    cut = tokens.select("rec_id", F.translate(F.lower(F.expr("substring(text, k.start_pos + 1, k.end_pos - k.start_pos)")), "ёЁ", "еЕ").alias("value"))
-    return cut.groupBy("rec_id", "value").agg(F.count("*").alias("n"))
+    """Every word of every truth, options included, with its number and its place in the text."""
+    tokens = F.flatten(F.flatten(F.transform("p.blocks", lambda b: b["options"])))
+    return _parsed(spark, sf).select("rec_id", F.explode(tokens).alias("k")).select("rec_id", "k.uid", "k.value", "k.start_pos", "k.end_pos")
 
 
 @query(f"""with {SQL_TRUTH}, p as (select rec_id, regexp_extract_all(translate(lower(text), 'ёЁ', 'еЕ'), '\\{{[^{{}}]*\\}}|' || {quoted(pattern())}) as parts from truth),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.alignment import aligned, capped_errors, word_errors
 from tessitura.operators.windows import previous
-from tessitura.plans.common import PIPELINES, SQL_SCORES, predictions, sql_distance
+from tessitura.plans.common import PIPELINES, SQL_BUCKETS, SQL_MATCHES, SQL_SCORES, predictions, sql_distance
 from tessitura.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -97,7 +97,7 @@ def align_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return readings(kernel(spark, sf)).select("rec_id", "pipeline", F.col("x").alias("truth"), F.col("y").alias("hyp"))
 
 
-@query(None)
+@query(f"with {SQL_MATCHES} select pipeline, status, count(*) as n, sum(n_char_errors) as n_char_errors from matches group by 1, 2")
 def match_status(spark: SparkSession, sf: str) -> DataFrame:
     m = kernel(spark, sf).select("pipeline", F.explode("a.matches").alias("m"))
     return m.groupBy("pipeline", F.col("m.status").alias("status")).agg(F.count("*").alias("n"), F.sum("m.n_char_errors").alias("n_char_errors"))
@@ -137,7 +137,9 @@ def cer_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("lang", "pipeline").agg(F.sum("a.n_char_errors").alias("by_words"), F.sum(F.levenshtein("x", "y")).alias("by_text"), F.sum(F.length("x")).alias("n_chars"))
 
 
-@query(None)
+@query(f"""with {SQL_MATCHES}, runs as (select *, i - row_number() over (partition by rec_id, pipeline, status = 'insertion' order by i) as run from matches),
+one as (select rec_id, pipeline, status = 'insertion' as ins, run, count(*) filter (status <> 'correct') as n from runs group by all)
+select rec_id, pipeline, cast(n_word_errors as integer) as n_errors, cast(coalesce(sum(case when ins then least(n, 4) else n end), 0) as integer) as capped from scored left join one using (rec_id, pipeline) group by 1, 2, 3""")
 def insertion_capped_errors(spark: SparkSession, sf: str) -> DataFrame:
     return kernel(spark, sf).select("rec_id", "pipeline", F.col("a.n_word_errors").alias("n_errors"), capped_errors(F.col("a.matches")).alias("capped"))
 
@@ -176,7 +178,7 @@ def buckets(k: DataFrame) -> DataFrame:
     return b.select("rec_id", "pipeline", "b.slot", "b.true", F.array_join("b.words", " ").alias("words"), "b.has_error")
 
 
-@query(None)
+@query(f"with {SQL_BUCKETS} select rec_id, pipeline, cast(slot as integer) as slot, words, has_error from buckets")
 def align_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """The slots of each alignment in which anything stands."""
     return buckets(kernel(spark, sf)).select("rec_id", "pipeline", "slot", "words", "has_error")
@@ -192,7 +194,8 @@ def side_by_side(b: DataFrame, pipelines: Sequence[str]) -> DataFrame:
     return b.groupBy("rec_id", "slot").agg(F.max("true").alias("truth"), *side).filter(F.col("truth").isNotNull() | stands)
 
 
-@query(None)
+@query(f"""with {SQL_BUCKETS}, c as (select *, case when has_error then upper(words) else words end as cell from buckets)
+select rec_id, cast(slot as integer) as slot, max("true") as truth, {", ".join(f"max(cell) filter (pipeline = '{p}') as {p}" for p in PIPELINES)} from c group by 1, 2""")
 def multi_alignment_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """Truth and hypotheses side by side, a row for each slot of each recording in which anything stands; errors in capitals."""
     return side_by_side(buckets(kernel(spark, sf)), list(PIPELINES))

@@ -136,3 +136,35 @@ best as (select rec_id, pipeline, t, h, choice, r[len(t) + 1] + 99999 as x from
   qualify row_number() over (partition by rec_id, pipeline order by x, choice) = 1),
 scored as (select rec_id, pipeline, t, h, choice, cast(x // 100000000000 as integer) as n_word_errors, cast(x % 100000000000 // 100000 as integer) as n_char_errors,
   cast(99999 - x % 100000 as integer) as n_correct, cast(len(list_filter(t, lambda w: w <> '<*>')) as integer) as true_len from best)"""
+
+
+def _sql_cell(cost: str, path: str) -> str:
+    return f"{{'c': {cost}, 'p': {path}, 'd': 0}}"
+
+
+#: The matches of every prediction's alignment with the reading it took. Rows of the edit table from the last word of the hypothesis to the
+#: first, cells from the last word of the truth to the first: the cost to the end, and the moves (a match, b insertion, c deletion, d
+#: absorption by a wildcard) of which the first in this order is taken at every step among the cheapest.
+SQL_MATCHES = SQL_SCORES + f""",
+ways as (
+  select rec_id, pipeline, t, h, len(t) as m, len(h) as i,
+    list_transform(range(0, len(t) + 1), lambda k: {_sql_cell("cast(coalesce(list_sum(list_transform(t[len(t) - k + 1:], lambda x: case when x = '<*>' then 0 else 100000000000 + 100000 * length(x) end)), 0) as bigint)", "repeat('c', k)")}) as r
+  from scored
+  union all
+  select rec_id, pipeline, t, h, m, i - 1, list_reduce(list_prepend([{_sql_cell("r[1].c + 100000000000 + 100000 * length(h[i])", "'b' || r[1].p")}], list_transform(list_transform(range(1, m + 1), lambda k: {{
+      'go': least({{'c': r[k].c + case when t[m - k + 1] = '<*>' then 0 when t[m - k + 1] = h[i] then -1 else 100000000000 + 100000 * ({sql_distance("t[m - k + 1]", "h[i]")}) end, 'p': 'a' || r[k].p}},
+        case when t[m - k + 1] = '<*>' then {{'c': r[k + 1].c, 'p': 'd' || r[k + 1].p}} else {{'c': r[k + 1].c + 100000000000 + 100000 * length(h[i]), 'p': 'b' || r[k + 1].p}} end),
+      'd': case when t[m - k + 1] = '<*>' then 0 else 100000000000 + 100000 * length(t[m - k + 1]) end}}), lambda z: [{{'c': z.go.c, 'p': z.go.p, 'd': z.d}}])),
+    lambda done, y: list_append(done, least({_sql_cell("y[1].c", "y[1].p")}, {_sql_cell("done[-1].c + y[1].d", "'c' || done[-1].p")})))
+  from ways where i > 0),
+way as (select rec_id, pipeline, t, h, r[m + 1].p as p from ways where i = 0),
+moves as (select *, unnest(range(1, length(p) + 1)) as s from way),
+placed as (select rec_id, pipeline, s - 1 as i, p[s] as move, length(regexp_replace(p[1:s - 1], '[^ac]', '', 'g')) as ti, t[length(regexp_replace(p[1:s - 1], '[^ac]', '', 'g')) + 1] as w,
+  case when p[s] <> 'c' then h[length(regexp_replace(p[1:s - 1], '[^abd]', '', 'g')) + 1] end as pred from moves),
+matches as (select rec_id, pipeline, i, ti, case when move <> 'b' then w end as true, pred,
+  case when move = 'b' then 'insertion' when w = '<*>' or w = pred then 'correct' when move = 'c' then 'deletion' else 'replacement' end as status,
+  case when move = 'b' then length(pred) when w = '<*>' or w = pred then 0 when move = 'c' then length(w) else {sql_distance("w", "pred")} end as n_char_errors from placed)"""
+#: Slots of the alignments: 2i + 1 for what met truth word i, 2i for what came before it.
+SQL_BUCKETS = SQL_MATCHES + """,
+buckets as (select rec_id, pipeline, case when status = 'insertion' then 2 * ti else 2 * ti + 1 end as slot, any_value("true") as "true", coalesce(string_agg(pred, ' ' order by i), '') as words, bool_or(status <> 'correct') as has_error
+  from matches group by 1, 2, 3)"""

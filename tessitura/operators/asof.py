@@ -58,25 +58,27 @@ def _level(s: Column, e: Column, width: int) -> Column:
     return out
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], width: int, spans: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """left and right (columns s, e and others, apart from the keys of different names: right's are rs, re; whole numbers) that overlap, with the overlap.
 
     Each side meets the other only in bins of ``width`` that both touch; a pair counts in the first of them. An interval of more than
     64 bins lies in bins of a wider level, of which it touches 65 at most, so a far end costs no more than any other; the
     other side lies on its own level and on those above it that this side has (its highest level is a subquery of one row). A
-    pair meets on the higher level of the two.
+    pair meets on the higher level of the two. ``spans`` may name cheaper tables of the same intervals (before rows were folded) to find the
+    highest levels in.
     """
     a = left.filter("e >= s").withColumn("__level", _level(F.col("s"), F.col("e"), width))
     b = right.filter("re >= rs").withColumn("__level", _level(F.col("rs"), F.col("re"), width))
-    top = lambda df: F.coalesce(df.agg(F.max("__level").alias("t")).scalar(), F.lit(0))
+    top = lambda df, s, e: F.coalesce(df.agg(F.max(_level(F.col(s), F.col(e), width)).alias("t")).scalar(), F.lit(0))
+    wide, long = spans or (left, right)
 
     def spread(df, s, e, other, own):
         on = df.select("*", F.explode(F.sequence(F.col("__level"), F.greatest(F.col("__level"), other))).alias("__on")).withColumnRenamed("__level", own)
         w = _bin_width(F.col("__on"), width)
         return on.select("*", F.explode(F.sequence(F.floor(s / w), F.floor(e / w))).alias("__bin"))
 
-    x = spread(a, F.col("s"), F.col("e"), top(b), "__la")
-    y = spread(b, F.col("rs"), F.col("re"), top(a), "__lb")
+    x = spread(a, F.col("s"), F.col("e"), top(long, "rs", "re"), "__la")
+    y = spread(b, F.col("rs"), F.col("re"), top(wide, "s", "e"), "__lb")
     both = x.join(y, [*by, "__on", "__bin"]).filter("s < re and rs < e and __on = greatest(__la, __lb)")
     both = both.filter(F.col("__bin") == F.floor(F.greatest("s", "rs") / _bin_width(F.col("__on"), width)))
     return both.withColumn("overlap", F.least("e", "re") - F.greatest("s", "rs")).drop("__on", "__bin", "__la", "__lb")

@@ -115,22 +115,22 @@ dia as (select distinct rec_id, diar_id, speaker_idx, cast(round(start_time * 10
 
 
 def _seg(spark, sf):
-    t = table(spark, sf, "timed_text").select("rec_id", "seg_id", to_ms(F.col("start_time")).alias("s"), to_ms(F.col("end_time")).alias("e")).filter("e is not null").distinct()
-    d = table(spark, sf, "diarization_segment").select("rec_id", "diar_id", "speaker_idx", to_ms(F.col("start_time")).alias("rs"), to_ms(F.col("end_time")).alias("re")).dropna().distinct()
-    return t, d
+    t = table(spark, sf, "timed_text").select("rec_id", "seg_id", to_ms(F.col("start_time")).alias("s"), to_ms(F.col("end_time")).alias("e")).filter("e is not null")
+    d = table(spark, sf, "diarization_segment").select("rec_id", "diar_id", "speaker_idx", to_ms(F.col("start_time")).alias("rs"), to_ms(F.col("end_time")).alias("re")).dropna()
+    return t.distinct(), d.distinct(), (t, d)
 
 
 @query(f"with {_SEG} select seg_id, diar_id, least(e, re) - greatest(s, rs) as overlap from seg join dia using (rec_id) where s < re and rs < e and e >= s and re >= rs")
 def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    t, d = _seg(spark, sf)
-    return overlap_pairs(t, d, ["rec_id"], 30_000).select("seg_id", "diar_id", "overlap")
+    t, d, raw = _seg(spark, sf)
+    return overlap_pairs(t, d, ["rec_id"], 30_000, raw).select("seg_id", "diar_id", "overlap")
 
 
 @query(f"""with {_SEG}, hit as (select seg_id, speaker_idx, e - s as len, sum(least(e, re) - greatest(s, rs)) as o from seg join dia using (rec_id) where s < re and rs < e and e >= s and re >= rs group by 1, 2, 3)
 select seg_id, speaker_idx, o / len as ratio, row_number() over (partition by seg_id order by o desc, speaker_idx) as place from hit""")
 def speaker_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    t, d = _seg(spark, sf)
-    hit = overlap_pairs(t, d, ["rec_id"], 30_000).groupBy("seg_id", "speaker_idx", (F.col("e") - F.col("s")).alias("len")).agg(F.sum("overlap").alias("o"))
+    t, d, raw = _seg(spark, sf)
+    hit = overlap_pairs(t, d, ["rec_id"], 30_000, raw).groupBy("seg_id", "speaker_idx", (F.col("e") - F.col("s")).alias("len")).agg(F.sum("overlap").alias("o"))
     place = F.row_number().over(W.partitionBy("seg_id").orderBy(F.desc("o"), "speaker_idx")).cast("bigint")
     return hit.select("seg_id", "speaker_idx", (F.col("o") / F.col("len")).alias("ratio"), place.alias("place"))
 
@@ -139,9 +139,9 @@ def speaker_ratios(spark: SparkSession, sf: str) -> DataFrame:
 where a.rs < b.re and b.rs < a.re and a.re >= a.rs and b.re >= b.rs group by 1, 2""")
 def self_overlap_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of segments in which a speaker overlaps itself."""
-    _, d = _seg(spark, sf)
+    _, d, (_, raw) = _seg(spark, sf)
     a = d.select("rec_id", "speaker_idx", F.col("diar_id").alias("x"), F.col("rs").alias("s"), F.col("re").alias("e"))
-    return overlap_pairs(a, d, ["rec_id", "speaker_idx"], 30_000).filter("x < diar_id").groupBy("rec_id", "speaker_idx").agg(F.count("*").alias("n"))
+    return overlap_pairs(a, d, ["rec_id", "speaker_idx"], 30_000, (raw.select(F.col("rs").alias("s"), F.col("re").alias("e")), raw)).filter("x < diar_id").groupBy("rec_id", "speaker_idx").agg(F.count("*").alias("n"))
 
 
 @query(f"with {SQL_PREDICTIONS} select a.rec_id, a.pipeline as first, b.pipeline as second, cast(len(a.h) - len(b.h) as bigint) as more from pred a join pred b on a.rec_id = b.rec_id and a.pipeline < b.pipeline")

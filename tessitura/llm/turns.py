@@ -188,9 +188,10 @@ def spoken_texts(timed_text: DataFrame, aliases: dict[str, int]) -> DataFrame:
 
 def covering_speaker(texts: DataFrame, periods: DataFrame, bin_ms: int = 60_000) -> DataFrame:
     """rec_id, seg_id, heard: the speaker whose periods cover most of each text's time; equal covers go to the lower number."""
-    t = texts.select("rec_id", "seg_id", to_ms(F.col("start_time")).alias("s"), to_ms(F.col("end_time")).alias("e")).filter("e > s").distinct()
-    p = periods.filter("kind = 'period'").select("rec_id", "speaker_idx", F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"))
-    total = overlap_pairs(t, p, ["rec_id"], bin_ms).groupBy("rec_id", "seg_id", "speaker_idx").agg(F.sum("overlap").alias("ms"))
+    raw = texts.select("rec_id", "seg_id", to_ms(F.col("start_time")).alias("s"), to_ms(F.col("end_time")).alias("e")).filter("e > s")
+    # Read for the join and for its levels: written once, the periods are found once.
+    p = materialize(periods.filter("kind = 'period'").select("rec_id", "speaker_idx", F.col("start_ms").alias("rs"), F.col("end_ms").alias("re")), "periods")
+    total = overlap_pairs(raw.distinct(), p, ["rec_id"], bin_ms, (raw, p)).groupBy("rec_id", "seg_id", "speaker_idx").agg(F.sum("overlap").alias("ms"))
     best = total.groupBy("rec_id", "seg_id").agg(F.max(F.struct("ms", (-F.col("speaker_idx")).alias("minus"))).alias("m"))
     return best.select("rec_id", "seg_id", (-F.col("m.minus")).cast("int").alias("heard"))
 
